@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import exact, mixing, packing, pii, quality, rules, simhash, substring, tokens, toxicity
 
-MODULES = [exact, simhash]
+MODULES = [exact, substring, mixing, tokens, simhash, toxicity, quality, pii, packing, rules]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.SQL.items()}
