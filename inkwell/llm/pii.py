@@ -129,13 +129,13 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", roun
     is_base = F.col("kind") != "token"
     past = F.max(F.when(is_base, F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
     here = F.col("start")
-    after = F.min(F.when(is_base, F.struct(here.alias("start"), F.col("kind")))).over(Window.partitionBy("r").orderBy("start").rangeBetween(0, Window.unboundedFollowing))
+    after = F.min(F.when(is_base, F.struct(here.alias("start"), F.col("kind"), F.col("m")))).over(Window.partitionBy("r").orderBy("start").rangeBetween(0, Window.unboundedFollowing))
     lead = F.regexp_extract("m", r"^[^\p{L}\p{N}+]*", 0)
     core = F.regexp_replace("m", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
     tokens = spots.withColumn("past", past).withColumn("after", after).filter("kind = 'token'")
     tokens = tokens.withColumn("seed", F.when(F.col("after.start") < F.col("end"), F.col("after.kind")))
     tokens = tokens.filter(F.col("seed").isNotNull() | F.coalesce(F.col("past") <= here, F.lit(True)))
-    tokens = staged(tokens.select("r", (here + F.length(lead)).alias("start"), core.alias("x"), "left", "seed").filter("x <> ''"), "tokens")
+    tokens = staged(tokens.select("r", (here + F.length(lead)).alias("start"), F.when(F.col("seed").isNotNull(), F.col("after.m")).otherwise(core).alias("x"), "left", "seed").filter("x <> ''"), "tokens")
     new = bootstrap(tokens, rounds)
     added = tokens.filter("seed is null").join(new, "x").select("r", "start", rank.alias("rank"), "kind", (F.col("start") + F.length("x")).alias("end"), F.lit(False).alias("base"))
     spans = base.unionByName(added).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "base"))).alias("found"))
