@@ -26,6 +26,11 @@ def words_of(text: str | Column = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
+def named(source: Column) -> Column:
+    """A source as a string that is never null, distinct for distinct sources."""
+    return F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit(""))
+
+
 def pick(values: Sequence[float], i: Column) -> Column:
     """values[i mod len], as a literal array lookup."""
     return F.element_at(F.array(*(F.lit(v) for v in values)), (i % len(values) + 1).cast("int"))
@@ -57,30 +62,23 @@ def progress(share: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, share).otherwise((F.sqrt(a * a + 4 * tilt * share) - a) / (2 * tilt))
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, tilts: Sequence[float] = TILTS, carry: bool = False) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, first_position, last_position.
-
-    The document that a target ends in is taken in part, so that a source's taken
-    words are the whole part of its target. Positions are of the middle of a
-    document's first and last taking, null where it is not taken. Null text has
-    size 0, null is a source of its own, rows that repeat an id are documents of
-    their own. With ``carry`` a column ``row`` has the input's row. Sorted by first
-    position; an empty table gives no rows.
-    """
+def placed_rows(docs: DataFrame, text: str, key: str, source: str, weights: Sequence[float], share: float, most: int, tilts: Sequence[float], carry: bool) -> DataFrame:
+    """Columns of ``mix`` and the hash h, not sorted; with ``carry`` a column ``row`` has the input's row."""
     if any(not -1 < t < 1 for t in tilts):
         raise ValueError("a tilt has to be between -1 and 1")
     more = [F.struct("*").alias("row")] if carry else []
     mixed = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words_of(text).alias("size"), mixed.alias("h"), *more)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), named(F.col(source)).alias("s"), words_of(text).alias("size"), mixed.alias("h"), *more)
     sized = (rows if carry else staged(rows, "sizes")).withColumn("bin", F.substring("h", 1, BIN_DIGITS))
-    bins = staged(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
+    bins = staged(sized.groupBy("source", "s", "bin").agg(F.sum("size").alias("words")), "bins")
     aims = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = bins.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    offsets = ahead.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("bin").alias("b"), "ahead", "source_size", "i", "target")
-    placed = sized.join(staged(offsets, "offsets"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    before = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = bins.select("s", "bin", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+    offsets = ahead.join(aims.withColumn("s", named(F.col("source"))).drop("source"), "s")
+    # Both sides grow with the sources, so neither is broadcast; the window below needs this partitioning too.
     # A bin has 1/4096 of a source's documents, so a source is never in one task.
-    inner = Window.partitionBy("s", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.drop("source").join(staged(offsets, "offsets").hint("merge"), ["s", "bin"])
+    inner = Window.partitionBy("s", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     whole, tilt = F.floor("target").cast("long"), pick([float(t) for t in tilts], F.col("i"))
 
@@ -94,8 +92,21 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     passes = range(int(most))
     positions = F.array(*(at(e) for e in passes))
     taken = sum((part(e) for e in passes), F.lit(0)).cast("long")
-    out = placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_min(positions).alias("first_position"), F.array_max(positions).alias("last_position"), *(["row"] if carry else []))
-    return out.orderBy(F.col("first_position").asc_nulls_last())
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_min(positions).alias("first_position"), F.array_max(positions).alias("last_position"), "h", *(["row"] if carry else []))
+
+
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first_position, last_position.
+
+    The document that a target ends in is taken in part, so that a source's taken
+    words are the whole part of its target. Positions are of the middle of a
+    document's first and last taking, null where it is not taken. Null text has
+    size 0, null is a source of its own, rows that repeat an id are documents of
+    their own. Sorted by first position; an empty table gives no rows.
+    """
+    out = placed_rows(docs, text, key, source, weights, share, most, tilts, False)
+    # Documents that are not taken follow in the order of their hash, over many tasks.
+    return out.orderBy(F.coalesce("first_position", F.lit(2.0)), F.when(F.col("first_position").isNull(), F.col("h"))).drop("h")
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
@@ -104,7 +115,7 @@ def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     Whole documents only: a taking in part counts if it is at least half of the
     document. Documents without words cost nothing and stay, once.
     """
-    placed = mix(docs, text, key, source, weights, share, most, tilts, carry=True)
+    placed = placed_rows(docs, text, key, source, weights, share, most, tilts, True)
     times = F.floor((F.col("taken") + F.expr("size div 2")) / F.greatest("size", F.lit(1))).cast("int")
     times = F.when(F.col("size") == 0, 1).otherwise(times)
     again = placed.filter(times > 0).withColumn("e", F.explode(F.sequence(F.lit(1), times)))

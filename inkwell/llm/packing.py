@@ -10,9 +10,11 @@ cut to fit. What is left at the end is cut at powers of two, which need no paddi
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,17 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 #: BM25, terms asked of a seed, neighbours looked at.
 K1, B, TERMS, NEIGHBOURS = 1.2, 0.75, 12, 128
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
+MARKS = string.punctuation.encode()
 
 
 class Encoder:
     """Ids of texts by the library ``tokenizers``, remembered by word.
 
     White space ends a word for this tokenizer, so a text's ids are those of its
-    words in turn. Words not met before are encoded together, a special token
-    between them.
+    words in turn. So do letters before ASCII punctuation, and it lowers case: a new
+    word is its core in lower case and the punctuation after it. New cores are
+    encoded together and cut apart by the places of their tokens.
     """
 
     def __init__(self, vocabulary: str):
@@ -47,25 +51,35 @@ class Encoder:
         self.t = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         self.size = self.t.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.mark, self.mark_id = "<|startoftext|>", self.t.token_to_id("<|startoftext|>")
         self.known: dict[bytes, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, new: set[bytes]) -> None:
+        known, parts = self.known, {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            # A special token, or a core that does not end in a letter, is not taken apart.
+            if b"<|" in w or not core or not (core[-1:].isalnum() or core.decode()[-1].isalpha()):
+                core = w
+            parts[w] = (core if b"<|" in w else core.lower(), w[len(core) :])
+        self.encode_words({x for pair in parts.values() for x in pair if x and x not in known})
+        known[b""] = b""
+        for w, (core, marks) in parts.items():
+            if w not in known:
+                known[w] = known[core] + known[marks]
+
+    def encode_words(self, words: set[bytes]) -> None:
         texts = [w.decode() for w in words]
-        plain = [x for x in texts if self.mark_id is not None and "<|" not in x]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.t.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, dtype=self.kind)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
-                self.known.update((x.encode(), self.alone(x)) for x in part)
-                continue
-            first, end = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            raw, w = ids.tobytes(), self.kind.itemsize
-            self.known.update((x.encode(), raw[a * w : b * w]) for x, a, b in zip(part, first.tolist(), end.tolist(), strict=True))
+        plain = [x for x in texts if "<|" not in x and len(x) < 1000 and is_normalized("NFC", x)]
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
+            whole = self.t.encode(" ".join(part), add_special_tokens=False)
+            first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
+            at = np.searchsorted([a for a, _ in whole.offsets], first).tolist()
+            raw, n = np.array(whole.ids, dtype=self.kind).tobytes(), self.kind.itemsize
+            self.known.update((x.encode(), raw[a * n : b * n]) for x, a, b in zip(part, at, at[1:], strict=False))
         self.known.update((x.encode(), self.alone(x)) for x in set(texts).difference(plain))
 
     def encode_batch(self, texts: list[str], end: int | None = None) -> list[bytes]:
