@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import counts, lookups, texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (counts, lookups, texts):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
