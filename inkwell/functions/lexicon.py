@@ -25,3 +25,12 @@ TERRITORIAL = (
     ("lord", r"lord\s+(?:of\s*)?$"),
     ("peer", r"(?:duke|marquesse?|viscount|baron)\s+(?:of\s*)?$"),
 )
+#: Countries of the royal style, as patterns.
+COUNTRIES = r"gr[e]?a[e]?te?\s+brit+[ae]?[iy]?n+e?|england|englande|ingland|eng-\s*land|scotland|scottland|scot-\s*t?land|france|fraunce|ffrance|ffraunce|firaunce|ireland|irland|ire-\s*land"
+#: Phrases that name countries without meaning places: the royal style, then regnal years.
+STYLES = (
+    ("royal_style", rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{COUNTRIES})(?:[\s,;.&]+(?:and\s+)?(?:{COUNTRIES})){{2,3}}(?![\p{{L}}\p{{N}}])"),
+    ("regnal_year", rf"(?i)(?<![\p{{L}}\p{{N}}])(?:and\s+)?of\s+(?:{COUNTRIES})\s+the\s+(?:[a-z]+[\s-]+){{0,4}}?(?:[a-z]*(?:th|first|second|third)|\d+(?:th|st|nd|rd)?)(?![\p{{L}}\p{{N}}])"),
+)
+#: Given names that clerks cut short.
+SHORT_NAMES = "nich nicho ed edw dan tho io jo wm geo ro rob rich sam hen fra chr nath will willm".split()

@@ -25,16 +25,21 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def near(a: str, b: str, least: float) -> Column:
+    """A cheap test that no pair of this ratio fails: twice the shared letters is at least ``least`` of all, so few edits are needed."""
+    return F.levenshtein(a, b) <= F.floor(F.lit(1 - least + 1e-9) * (F.length(a) + F.length(b)))
+
+
 def best_match(words: DataFrame, entries: DataFrame, least: float, slack: int, word: str = "word", form: str = "form") -> DataFrame:
     """Per distinct word the entry form with the highest ratio, of a length within ``slack``; the smallest form wins ties.
 
     Pairs are blocked by length: each form is copied to the lengths it may match,
-    so the join is an equi-join, and few pairs reach the UDF.
+    so the join is an equi-join, and pairs that need too many edits do not reach the UDF.
     """
     w = words.select(F.col(word).alias("word")).distinct().withColumn("n", F.length("word"))
     e = entries.select(F.col(form).alias("form")).distinct()
     e = e.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.length("form") - slack), F.length("form") + slack)))
-    pairs = w.join(e, "n").withColumn("score", ratio("word", "form")).filter(F.col("score") >= least)
+    pairs = w.join(e, "n").filter(near("word", "form", least)).withColumn("score", ratio("word", "form")).filter(F.col("score") >= least)
     i = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "form"))
     return pairs.withColumn("i", i).filter("i = 1").select("word", "form", "score")
 
@@ -60,15 +65,14 @@ def lookup(words: DataFrame, lexicon: DataFrame, least: float = 0.82, shortest:
     f = block(e.filter(~F.col("exact_only") & (F.length("key") >= shortest)).select("entity", F.col("key")).distinct()).withColumnRenamed("key", "seed_key")
     lengths = F.sequence(F.ceil(F.col("n") * 0.8).cast("int"), F.floor(F.col("n") * 1.25).cast("int"))
     f = f.withColumn("n", F.explode(lengths))
-    pairs = r.join(f, ["c", "n"]).withColumn("score", ratio("key", "seed_key")).filter(F.col("score") >= least)
+    pairs = r.join(f, ["c", "n"]).filter(near("key", "seed_key", least)).withColumn("score", ratio("key", "seed_key")).filter(F.col("score") >= least)
     best = Window.partitionBy("word").orderBy(F.desc("score"), "entity", "seed_key")
-    near = pairs.withColumn("i", F.row_number().over(best)).filter("i = 1").select("word", "entity", F.lit("fuzzy").alias("match_type"), "score")
-    return equal.unionByName(near)
+    close = pairs.withColumn("i", F.row_number().over(best)).filter("i = 1").select("word", "entity", F.lit("fuzzy").alias("match_type"), "score")
+    return equal.unionByName(close)
 
 
-def same_surname(pairs: DataFrame, a: str, b: str, shape: Column | None = None, least: float = 0.82) -> DataFrame:
+def same_surname(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
     """Pairs of surnames that are one: equal spelling keys, or both of four letters and more and close."""
-    del shape
     t = pairs.withColumn("_a", skeleton(F.replace(F.lower(a), F.lit("ff"), F.lit("f")))).withColumn("_b", skeleton(F.replace(F.lower(b), F.lit("ff"), F.lit("f"))))
     equal = t.filter(F.col("_a") == F.col("_b"))
     long = t.filter((F.col("_a") != F.col("_b")) & (F.length("_a") >= 4) & (F.length("_b") >= 4) & (F.left("_a", F.lit(1)) == F.left("_b", F.lit(1))))

@@ -45,6 +45,27 @@ def looks_like_person(span: Column, has_title: Column) -> Column:
     return shape & ~bad
 
 
+def trimmed(span: Column) -> Column:
+    """A model's span without what runs on from a name: leaders, amounts, the next paragraph, closing marks."""
+    cut = F.regexp_extract(span, r"(?s)^(.+?)(?:_+|\s*\n\s*\n|\s+\d|[-.~]{3,}|\s*[-—–]{2,}|$)", 1)
+    return F.regexp_replace(cut, r"[ .,:;'’]+$", "")
+
+
+def extension(span: Column, after: Column, has_title: Column) -> Column:
+    """Characters by which a cut name goes on: after a hyphen, a short given name, or a title and one name."""
+    short = r"(?i)\b(?:" + "|".join(V.SHORT_NAMES) + ")$"
+    word = lambda p: F.regexp_extract(after, p, 0)
+    known = lambda s: F.lower(F.regexp_extract(s, r"([\p{L}’']+)$", 1)).isin(V.NON_NAMES)
+    given, surname = word(r"^[?:.’']*\s*(?:ff|[A-Z])[A-Za-z’']{2,}"), word(r"^[^\S\n]*\n?[^\S\n]*(?<=\s)[A-Z][a-z]{2,}\b")
+    two = F.regexp_count(span, F.lit("[A-Za-z’']{2,}")) == 2
+    return (
+        F.when(span.endswith("-"), F.length(word(r"^\s+[a-z]{2,}")))
+        .when(span.rlike(short) & (given != "") & ~known(given), F.length(given))
+        .when(has_title & two & (surname != "") & ~known(surname), F.length(surname))
+        .otherwise(0)
+    )
+
+
 def decided(found: DataFrame, before: Column, after: Column) -> DataFrame:
     """Label and reason of authority spans from the text around them, in this order."""
     place = F.col("label") == "PLACE"
@@ -73,12 +94,16 @@ def extract(pages: DataFrame, aliases: DataFrame, longest: int, extra: DataFrame
     after the authority's and have to look like a name.
     """
     text = pages.select("page_id", "text")
-    authority = spans.authority_spans(pages, "text", ["page_id"], aliases, longest)
+    authority = spans.authority_spans(pages, "text", ["page_id"], aliases, longest, V.STYLES)
     authority = spans.context_columns(authority.join(text, "page_id"), "text", 40, 40)
     out = decided(authority, F.col("before"), F.col("after")).select("page_id", "start", "end", "label", "entity", "source")
     passes = [(spans.matches(pages, "text", rf"(?<![A-Za-z])(?i:{V.TITLES})[ \t]+(?:\p{{Lu}}[\p{{L}}’']+|ff[a-z]{{2,}})(?:[ \t]+(?:\p{{Lu}}[\p{{L}}’']+|ff[a-z]{{2,}}))?", ["page_id"]), "title", True)]
     if extra is not None:
-        model = extra.filter("label = 'PERSON'").join(text, "page_id").select("page_id", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("span"))
+        model = spans.context_columns(extra.filter("label = 'PERSON'").join(text, "page_id"), "text", 40, 40)
+        own = trimmed(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")))
+        more = F.when(F.length(own) == F.col("end") - F.col("start"), extension(own, F.col("after"), F.lit(False))).otherwise(0)
+        model = model.withColumn("end", (F.col("start") + F.length(own) + more).cast("int"))
+        model = model.select("page_id", "start", "end", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("span"))
         passes.insert(0, (model, "model", False))
     for found, source, has_title in passes:
         names = found.filter(looks_like_person(F.col("span"), F.lit(has_title)))

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from inkwell.functions.text import folded
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Characters between two words of one name.
+MOST_GAP = 6
 
 
 def matches(rows: DataFrame, text: str, pattern: str, keys: Sequence[str]) -> DataFrame:
@@ -34,26 +36,32 @@ def matches(rows: DataFrame, text: str, pattern: str, keys: Sequence[str]) -> Da
     return flat.select(*keys, "i", (end - F.length("span")).cast("int").alias("start"), end.cast("int").alias("end"), "span")
 
 
+def squeezed(s: Column) -> Column:
+    """Folded text with single spaces, cut to its first and last letter or digit."""
+    bare = F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.regexp_replace(folded(bare), r"\s+", " ")
+
+
 def alias_keys(aliases: DataFrame, form: str = "form") -> DataFrame:
-    """Adds key (folded words joined by a space) and n (their number); forms without words are dropped."""
-    words = F.regexp_extract_all(folded(F.col(form)), F.lit(TOKEN), F.lit(0))
-    return aliases.withColumn("key", F.array_join(words, " ")).withColumn("n", F.size(words)).filter("n > 0")
+    """Adds key (folded, single spaces, inner marks kept) and n (its words); forms without words are dropped."""
+    n = F.regexp_count(F.col(form), F.lit(TOKEN))
+    return aliases.withColumn("key", squeezed(F.col(form))).withColumn("n", n).filter("n > 0")
 
 
 def ngrams(rows: DataFrame, text: str, keys: Sequence[str], longest: int) -> DataFrame:
-    """keys, key, n, start, end of all runs of 1..longest tokens that only white space separates."""
+    """keys, key, n, start, end of all runs of 1..longest tokens with at most MOST_GAP other characters between two."""
     t = matches(rows, text, TOKEN, keys)
+    # A token with the gap after it, so that the key has the marks between words as they stand.
+    after = matches(rows, text, TOKEN + rf"(?:[^\p{{L}}\p{{N}}]{{1,{MOST_GAP}}}(?=[\p{{L}}\p{{N}}]))?", keys).select(*keys, "i", F.col("span").alias("_whole"))
     w = Window.partitionBy(*keys).orderBy("i")
-    # Gaps are read from the text once, as part of the token before them.
-    after = matches(rows, text, TOKEN + r"(?:\s+(?=[\p{L}\p{N}]))?", keys).select(*keys, "i", F.col("span").alias("_whole"))
     t = t.join(after, [*keys, "i"]).withColumn("_joined", F.length("_whole") > F.length("span"))
     t = t.withColumn("_island", F.sum(F.when(F.lag("_joined").over(w), 0).otherwise(1)).over(w))
     out = None
     for n in range(1, longest + 1):
         ahead = Window.partitionBy(*keys, "_island").orderBy("i")
-        words = F.collect_list(folded(F.col("span"))).over(ahead.rowsBetween(0, n - 1))
-        part = t.withColumn("_w", words).withColumn("_end", F.lead("end", n - 1).over(ahead)).filter(F.size("_w") == n)
-        part = part.select(*keys, F.array_join("_w", " ").alias("key"), F.lit(n).alias("n"), "start", F.col("_end").alias("end"))
+        head = F.array_join(F.collect_list("_whole").over(ahead.rowsBetween(0, n - 2)), "") if n > 1 else F.lit("")
+        part = t.withColumn("_head", head).withColumn("_last", F.lead("span", n - 1).over(ahead)).withColumn("_end", F.lead("end", n - 1).over(ahead)).filter("_end is not null")
+        part = part.select(*keys, squeezed(F.concat("_head", "_last")).alias("key"), F.lit(n).alias("n"), "start", F.col("_end").alias("end"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -106,11 +114,18 @@ def leftmost(spans: DataFrame, keys: Sequence[str], start: str = "start", end: s
     return spans.groupBy(*keys).applyInPandas(scan, spans.schema)
 
 
-def authority_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int) -> DataFrame:
-    """Non-overlapping places of aliases: leftmost-longest within a label, then over labels the longest first."""
-    found = dictionary_spans(rows, text, keys, aliases, longest)
-    found = leftmost(found, [*keys, "label"]).withColumn("size", F.col("end") - F.col("start"))
-    return packed(found, keys, ["-size", "priority", "start", "label"]).drop("size")
+def authority_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int, first: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Non-overlapping places of aliases: leftmost-longest within a label, then over labels the longest first.
+
+    ``first`` has (name, pattern) of phrases that claim their text before all
+    aliases, in their order, and are no entities.
+    """
+    found = leftmost(dictionary_spans(rows, text, keys, aliases, longest), [*keys, "label"]).withColumn("rank", F.lit(len(first)))
+    for i, (name, pattern) in enumerate(first):
+        hits = matches(rows, text, pattern, keys).select(*keys, "start", "end", F.lit("NOT_ENTITY").alias("label"), F.lit(name).alias("entity"), F.lit(0).alias("priority"), F.lit(i).alias("rank"))
+        found = found.unionByName(hits)
+    found = found.withColumn("size", F.col("end") - F.col("start"))
+    return packed(found, keys, ["rank", "-size", "priority", "start", "label"]).drop("size", "rank")
 
 
 def not_nested(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:

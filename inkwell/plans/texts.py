@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import dates as D
@@ -37,12 +37,14 @@ def query(sql: str | None = None) -> Callable:
 LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
-@query(f"""SELECT doc_id, array_to_string(regexp_extract_all(replace(lower(substr(text, 1, 200)), 'ß', 'ss'), '{LETTERS}'), ' ') AS phrase,
-       array_to_string(list_transform(regexp_extract_all(replace(lower(substr(text, 1, 200)), 'ß', 'ss'), '{LETTERS}'), lambda w: CASE w WHEN 'iohn' THEN 'john' WHEN 'the' THEN 'ye' ELSE w END), ' ') AS key
-FROM documents""")
+PHRASE = f"regexp_extract_all(replace(lower(X), 'ß', 'ss'), '{LETTERS}')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {PHRASE.replace("X", "text")} AS p, {PHRASE.replace("X", "split_part(text, '. ', 1)")} AS h FROM documents)
+SELECT doc_id, md5(array_to_string(p, ' ')) AS phrase, md5(array_to_string(list_transform(CASE WHEN len(h) >= 2 THEN h ELSE p END, lambda w: CASE w WHEN 'iohn' THEN 'john' WHEN 'the' THEN 'ye' ELSE w END), ' ')) AS key FROM t""")
 def normalize_phrase(spark: SparkSession, d: str) -> DataFrame:
-    head = F.replace(F.left("text", F.lit(200)), F.lit(". "), F.lit(" "))
-    return table(spark, d, "documents").select("doc_id", X.normalized_phrase(head).alias("phrase"), X.match_key(head, {"iohn": "john", "the": "ye"}).alias("key"))
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(X.normalized_phrase(t)).alias("phrase"), F.md5(X.match_key(t, {"iohn": "john", "the": "ye"})).alias("key"))
 
 
 DOUBLES = "w"
@@ -76,14 +78,13 @@ def dictionary(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""WITH a(label, entity, form, priority) AS (VALUES {ALIASES}),
-t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+\\s*')) AS w, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+\\s*'), 1) AS i FROM documents),
-x AS (SELECT doc_id, i, w, lower(trim(w, E' \\n\\t\\r')) AS k FROM t),
-g AS (SELECT doc_id, i, 1 AS n, k AS key FROM x UNION ALL SELECT a.doc_id, a.i, 2, a.k || ' ' || b.k FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.i = a.i + 1
-      JOIN documents d ON d.doc_id = a.doc_id WHERE a.w <> trim(a.w, E' \\n\\t\\r') AND contains(d.text, a.w || trim(b.w, E' \\n\\t\\r')))
-SELECT label, entity, count(*) >= 0 AS found FROM g JOIN a ON key = form GROUP BY ALL""")
-def dict_labels(spark: SparkSession, d: str) -> DataFrame:
+t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS m, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, g FROM t),
+n AS (SELECT doc_id, lower(m[i]) AS key FROM x UNION ALL SELECT doc_id, lower(m[i]) || ' ' || lower(m[i + 1]) FROM x WHERE i < len(m) AND regexp_full_match(g[i + 1], '\\s+'))
+SELECT doc_id, label, entity, count(*) AS n FROM n JOIN a ON key = form GROUP BY ALL""")
+def dict_counts(spark: SparkSession, d: str) -> DataFrame:
     found = P.dictionary_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark), 2)
-    return found.groupBy("label", "entity").agg((F.count("*") >= 0).alias("found"))
+    return found.groupBy("doc_id", "label", "entity").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -152,11 +153,6 @@ def book(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PAGES, "page_id string, volume int, ord long, text string")
 
 
-def book_at_scale(spark: SparkSession, d: str) -> DataFrame:
-    """The book once for each customer nation and segment, as volumes of their own would be."""
-    return book(spark)
-
-
 @query()
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     lines = book(spark).select("page_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -255,18 +251,22 @@ def group_mentions(spark: SparkSession, d: str) -> DataFrame:
     return N.groups(pages, lexicon)
 
 
+def known_words(spark: SparkSession, d: str, least: int) -> DataFrame:
+    """Distinct words of the benchmark texts, as a lexicon."""
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word")).distinct()
+
+
 @query()
 def fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))).alias("word")).distinct()
-    lexicon = words.orderBy(F.md5("word")).limit(40).select(F.concat(F.lit("E-"), F.col("word")).alias("entity"), F.col("word").alias("seed"), (F.length("word") > 8).alias("exact_only"))
+    lexicon = known_words(spark, d, 6).select(F.concat(F.lit("E-"), F.col("word")).alias("entity"), F.col("word").alias("seed"), (F.length("word") > 12).alias("exact_only"))
     return Z.lookup(words, lexicon)
 
 
 @query()
 def suggest_merge(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).distinct()
-    entries = words.orderBy(F.md5("word"), "word").limit(60).select(F.col("word").alias("form"))
-    return Z.best_match(words, entries, 0.84, 4)
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("word")).distinct()
+    return Z.best_match(words, known_words(spark, d, 10), 0.84, 4, form="word")
 
 
 @query()
@@ -379,7 +379,3 @@ def first_lookup(spark: SparkSession, d: str) -> DataFrame:
     first = K.first_per(orders, ["o_custkey"], ["o_orderkey"]).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("first"))
     return table(spark, d, "customer").select("c_custkey").join(first, "c_custkey", "left")
 
-
-def rolling(events: DataFrame) -> DataFrame:
-    """Events with their user's running count, in the order of time."""
-    return events.withColumn("n", F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
