@@ -15,8 +15,8 @@ from inkwell.llm.packing import pack
 from inkwell.llm.quality import fit, good_rows
 from inkwell.llm.simhash import near_dedup
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: The near-duplicate stage: words in a shingle, and the similarity from which texts are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup(docs, shingle=SHINGLE)
+    return near_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

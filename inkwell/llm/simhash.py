@@ -4,6 +4,10 @@ Two fingerprints at distance 2r or less have a common value within r of both.
 Each distinct fingerprint emits all values within r; those that meet at a value
 are linked to the smallest one there. All that meet are within 2r of each other,
 so a star keeps the components of the full graph without its pairs.
+
+A radius that the balls allow finds texts of a Jaccard similarity near 1 only. Where
+a similarity is asked for, min-wise sketches of the same shingles give more links:
+texts that agree in a band meet, and are compared by their whole sketches.
 """
 
 from __future__ import annotations
@@ -21,33 +25,64 @@ from .common import components, drop, join_hot, small_batches, staged, text_of
 from .exact import digest
 
 SHINGLE, RADIUS, SEED, CHUNK = 3, 2, 42, 1 << 16
+#: Values of a sketch, 16 bits each, and how many of them a band has. Texts of
+#: similarity 0.8 meet in a band with probability 0.998.
+BINS, BAND = 128, 6
+#: A sketch's estimate may be so much below the similarity asked for: two standard errors.
+ERROR = 0.07
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash, as a signed integer; 0 for a text without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, the whole sequence if there are fewer; empty for a text without words."""
     words = text.encode().lower().split()  # both touch ASCII only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     parts = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype="<u8", count=max(1, len(words) - shingle + 1))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash, as a signed integer; 0 for no hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
+    for i in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return simhash(shingle_hashes(text, shingle))
+
+
+def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
+    """For each of ``bins`` orders of all hashes the least one, 16 bits of it; empty for no hashes."""
+    if not len(hashes):
+        return b""
+    orders = np.random.default_rng(SEED).integers(0, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hashes = np.unique(hashes)
+    with np.errstate(over="ignore"):
+        least = np.minimum.reduce([(hashes[i : i + 4096, None] * orders).min(axis=0) for i in range(0, len(hashes), 4096)])
+        return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, sha (of the text) and fp (signed long) of each document; null text has fp 0."""
+def likeness(a: bytes, b: bytes) -> float:
+    """Share of equal values of two sketches: an estimate of the Jaccard similarity."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    return float((x == y).mean()) if len(x) and len(x) == len(y) else 0.0
+
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
+    """doc_id, sha (of the text), fp (signed long) and sketch (empty if not asked for) of each document; null text has fp 0."""
     small_batches(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps = pa.array([fingerprint(x, shingle) for x in part.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps], names=["doc_id", "sha", "fp"])
+            hashes = [shingle_hashes(x, shingle) for x in part.column(2).to_pylist()]
+            fps = pa.array([simhash(h) for h in hashes], pa.int64())
+            marks = pa.array([sketch(h) if sketches else b"" for h in hashes], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps, marks], names=["doc_id", "sha", "fp", "sketch"])
 
     rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("sha"), text_of(text).alias("body"))
-    return rows.mapInArrow(batches, f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, fp long")
+    return rows.mapInArrow(batches, f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, fp long, sketch binary")
 
 
 def ball(radius: int) -> list[int]:
@@ -66,25 +101,51 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def likely(own: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints whose sketches meet in a band and agree to ``similarity``, less two standard errors.
+
+    In a band each is compared with the smallest and the largest that it meets there,
+    not with all: two links for each band, found by grouped minima, so that a group
+    of copies of any size is neither gathered nor squared.
+    """
+    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * i, 2 * BAND)) for i in range(0, BINS - BAND + 1, BAND)))
+    flat = own.filter(F.length("sketch") > 0).select("fp", F.explode(bands).alias("band"))
+    ends = flat.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    met = flat.join(ends, "band").select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
+    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda c: own.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b, x, y = (part.column(i) for i in range(4))
+            good = pa.array([likeness(p, q) >= similarity - ERROR for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable), sha, root.
 
     Null text is empty; all texts without words have fingerprint 0 and are linked like any other.
     Null ids are no component's smallest unless it has no other. An empty table gives no rows.
+    With ``similarity`` texts that are so alike by their sketches are linked as well.
     """
-    rows = staged(fingerprints(docs, text, key, shingle), "fingerprints")
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(own, radius))
+    rows = staged(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
+    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("sketch").alias("sketch")), "distinct")
+    near = links(own, radius)
+    roots = components(near if similarity is None else near.unionByName(likely(own, similarity)))
     whole = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(whole.join(least, "root").select("fp", "component_id", "root"), "named")
     drop(own)
-    return join_hot(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
+    return join_hot(rows.drop("sketch"), named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, of which one per group stays: that of its smallest id (and text digest)."""
-    groups = near_groups(docs, text, key, radius, shingle)
+    groups = near_groups(docs, text, key, radius, shingle, similarity)
     own = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = own.groupBy("root").agg(F.min(F.struct("doc_id", "sha")).alias("x")).select("x.*")
     rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("i"), digest(text).alias("s"), F.struct("*").alias("row"))
