@@ -104,13 +104,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def likely(own: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between fingerprints whose sketches meet in a band and agree to ``similarity``, less two standard errors.
 
-    In a band each is compared with the smallest and the largest that it meets there,
-    not with all: two links for each band, found by grouped minima, so that a group
-    of copies of any size is neither gathered nor squared.
+    In a band each is compared with two of those that it meets there, not with all:
+    the first and the last in an order that is another one in each band. They are
+    found by grouped minima, so that a group of copies of any size is neither
+    gathered nor squared; those alike meet in many bands.
     """
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * i, 2 * BAND)) for i in range(0, BINS - BAND + 1, BAND)))
     flat = own.filter(F.length("sketch") > 0).select("fp", F.explode(bands).alias("band"))
-    ends = flat.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    turned = F.col("fp").bitwiseXOR(F.col("band"))
+    ends = flat.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low <> high")
+    ends = ends.select("band", *(F.col(c).bitwiseXOR(F.col("band")).alias(c) for c in ("low", "high")))
     met = flat.join(ends, "band").select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
     pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     side = lambda c: own.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
