@@ -113,12 +113,12 @@ def reason_filter_split(spark: SparkSession, d: str) -> DataFrame:
     return K.reasons(table(spark, d, "documents"), rules).select("doc_id", "reason")
 
 
-@query("""WITH b AS (SELECT s_nationkey AS place_id, trim(s_name) AS alias, 0 AS o FROM supplier UNION ALL SELECT c_nationkey, replace(c_name, 'Customer', 'SUPPLIER'), 1 FROM customer WHERE c_custkey <= 300),
+@query("""WITH b AS (SELECT s_nationkey AS place_id, trim(s_name) AS alias, 0 AS o FROM supplier UNION ALL SELECT c_nationkey, replace(c_name, 'Customer', 'SUPPLIER'), 1 FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY place_id, lower(alias) ORDER BY o, alias) AS i FROM b)
 SELECT place_id, alias, o = 1 AS added FROM r WHERE i = 1""")
 def alias_merge_log(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "supplier").select(F.col("s_nationkey").alias("place_id"), F.col("s_name").alias("alias"))
-    q = table(spark, d, "customer").filter("c_custkey <= 300").select(F.col("c_nationkey").alias("place_id"), F.replace("c_name", F.lit("Customer"), F.lit("SUPPLIER")).alias("alias"))
+    q = table(spark, d, "customer").select(F.col("c_nationkey").alias("place_id"), F.replace("c_name", F.lit("Customer"), F.lit("SUPPLIER")).alias("alias"))
     return K.merge_aliases(a, q)
 
 
