@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, small_batches, staged, text_of
+from .simhash import shingle_hashes
 
 #: Bounds of what is learnt from and kept: labelled rows for each of the two steps, tokens.
 MOST_LABELLED, MOST_TOKENS = 20_000, 50_000
@@ -142,6 +143,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, remainder: int, mos
     return docs.select(F.col(key).alias("_i"), text_of(text).alias("body")).join(F.broadcast(chosen), "_i").select("body", "y")
 
 
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Rows (body, y) of which near copies are mostly left out: of those with equal least shingles one per label stays."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = np.array([[1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9]], np.uint64)
+        for part in parts:
+            least = []
+            for body in part.column(0).to_pylist():
+                h = shingle_hashes(body, 5)
+                with np.errstate(over="ignore"):
+                    least.append((h[:, None] * turns).min(axis=0).view(np.int64).tolist() if len(h) else [0, 0, 0])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in least], pa.int64()) for i in range(3))], names=["body", "y", "a", "b", "c"])
+
+    marked = rows.mapInArrow(batches, "body string, y int, a long, b long, c long")
+    for c in ("a", "b", "c"):
+        marked = marked.withColumn("i", F.row_number().over(Window.partitionBy("y", c).orderBy("a", "b", "c", "body"))).filter("i = 1")
+    return marked.select("body", "y")
+
+
 def learn_weights(rows: DataFrame) -> dict[bytes, float]:
     """Weights of tokens and beginnings from rows (body, y): log-odds of being in a document, by label.
 
@@ -178,7 +198,7 @@ def learn_weights(rows: DataFrame) -> dict[bytes, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_LABELLED) -> Model:
     """Weights from labelled rows with remainder 0, calibration from those with remainder 2, at most ``most`` of each."""
     small_batches(docs.sparkSession)
-    model = Model(learn_weights(labelled(docs, labels, label, 0, most, text, key)))
+    model = Model(learn_weights(without_copies(labelled(docs, labels, label, 0, most, text, key))))
     rows = labelled(docs, labels, label, 2, most, text, key)
 
     def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
