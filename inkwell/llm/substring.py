@@ -12,7 +12,6 @@ of all places, and no repeat is lost.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,14 +103,18 @@ def repeated(places: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Rows (h, r, at) of ``places`` whose h occurs twice or more.
 
     Hashes with over 1/counters of all rows are found by Misra-Gries, counted and
-    broadcast, at most ``counters`` of them; the others meet in one shuffle.
+    broadcast, at most ``counters`` of them, and their rows are spread; the others
+    meet in one shuffle.
     """
     least = places.count() / counters
-    hot = places.join(F.broadcast(hot_keys(places, "h", counters)), "h", "left_semi").groupBy("h").agg(F.count("*").alias("hot"))
+    maybe = [r.h for r in hot_keys(places, "h", counters).collect()]  # at most ``counters`` numbers
+    hot = places.filter(F.col("h").isin(maybe)).groupBy("h").agg(F.count("*").alias("hot"))
     hot = staged(hot.filter((F.col("hot") > 1) & (F.col("hot") > F.lit(least))), "hot")
     marked = places.join(F.broadcast(hot), "h", "left")
-    cold = marked.filter("hot is null").select("h", "r", "at", F.count("*").over(Window.partitionBy("h")).alias("n")).filter("n > 1")
-    return marked.filter("hot is not null").select("h", "r", "at").unionByName(cold.select("h", "r", "at"))
+    # The count of a hot hash is known, so its rows may be dealt out by their text.
+    apart = Window.partitionBy("h", F.when(F.col("hot").isNotNull(), F.col("r")))
+    counted = marked.select("h", "r", "at", F.coalesce("hot", F.count("*").over(apart)).alias("n"))
+    return counted.filter("n > 1").select("h", "r", "at")
 
 
 def survivors(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
