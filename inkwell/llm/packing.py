@@ -30,7 +30,7 @@ SHARD_DOCS, SHARD_TOKENS = 4096, 4_000_000
 #: BM25, terms asked of a seed, neighbours looked at.
 K1, B, TERMS, NEIGHBOURS = 1.2, 0.75, 12, 128
 #: Words whose ids a worker remembers.
-MOST_WORDS = 800_000
+MOST_WORDS = 2_000_000
 MARKS = string.punctuation.encode()
 
 
@@ -57,18 +57,26 @@ class Encoder:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def learn(self, new: set[bytes]) -> None:
-        known, parts = self.known, {}
+        known, todo, parts = self.known, set(), []
         for w in new:
+            if w.isalpha() and w.islower():  # of ASCII: a core as it stands
+                todo.add(w)
+                continue
             core = w.rstrip(MARKS)
             # A special token, or a core that does not end in a letter, is not taken apart.
             if b"<|" in w or not core or not (core[-1:].isalnum() or core.decode()[-1].isalpha()):
-                core = w
-            parts[w] = (core if b"<|" in w else core.lower(), w[len(core) :])
-        self.encode_words({x for pair in parts.values() for x in pair if x and x not in known})
-        known[b""] = b""
-        for w, (core, marks) in parts.items():
-            if w not in known:
-                known[w] = known[core] + known[marks]
+                todo.add(w)
+                continue
+            low, marks = core.lower(), w[len(core) :]
+            if low not in known:
+                todo.add(low)
+            if marks and marks not in known:
+                todo.add(marks)
+            if marks or low != w:
+                parts.append((w, low, marks))
+        self.encode_words(todo)
+        for w, low, marks in parts:
+            known[w] = known[low] + known[marks] if marks else known[low]
 
     def encode_words(self, words: set[bytes]) -> None:
         texts = [w.decode() for w in words]
@@ -87,9 +95,11 @@ class Encoder:
         last = b"" if end is None else np.array([end], dtype=self.kind).tobytes()
         split = [text.encode().split() for text in texts]  # ASCII white space only: less than the tokenizer's own, which is safe
         words = set().union(*split)
-        if len(self.known) + len(words.difference(self.known)) > MOST_WORDS:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > MOST_WORDS:
             self.known.clear()
-        self.learn(words.difference(self.known))
+            new = words
+        self.learn(new)
         return [b"".join(map(self.known.__getitem__, x)) + last for x in split]
 
 
