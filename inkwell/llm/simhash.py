@@ -101,22 +101,44 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def likely(own: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints whose sketches meet in a band and agree to ``similarity``, less two standard errors.
+def banded(own: DataFrame) -> DataFrame:
+    """t, c and band of each band of the sketches of ``own`` (t, c, sketch); texts without words have none."""
+    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * i, 2 * BAND)) for i in range(0, BINS - BAND + 1, BAND)))
+    return own.filter(F.length("sketch") > 0).select("t", "c", F.explode(bands).alias("band"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def first_pairs(flat: DataFrame) -> DataFrame:
+    """Pairs of texts (a, b): each with the first and the last that it meets in a band, in an order that is another one in each band.
 
-    In a band each is compared with two of those that it meets there, not with all:
-    the first and the last in an order that is another one in each band. They are
-    found by grouped minima, so that a group of copies of any size is neither
-    gathered nor squared; those alike meet in many bands.
+    They are found by grouped minima, so that a group of copies of any size is neither
+    gathered nor squared; it becomes one component, whose pairs are not asked for again.
     """
-    bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * i, 2 * BAND)) for i in range(0, BINS - BAND + 1, BAND)))
-    flat = own.filter(F.length("sketch") > 0).select("fp", F.explode(bands).alias("band"))
-    turned = F.col("fp").bitwiseXOR(F.col("band"))
+    turned = F.col("t").bitwiseXOR(F.col("band"))
     ends = flat.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low <> high")
     ends = ends.select("band", *(F.col(c).bitwiseXOR(F.col("band")).alias(c) for c in ("low", "high")))
-    met = flat.join(ends, "band").select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b")
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    side = lambda c: own.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}"))
+    return ordered(flat.join(ends, "band").select(F.col("t").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b"))
+
+
+def other_pairs(flat: DataFrame) -> DataFrame:
+    """All pairs of texts (a, b) that meet in a band and are in different components ``c``.
+
+    One of such a pair is outside the band's largest component, so only those outside are joined with the band.
+    """
+    parts = flat.groupBy("band", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("band", "top")
+    held = staged(flat.join(mixed, "band"), "mixed")
+    rest = held.filter("c <> top").select("band", F.col("t").alias("a"), F.col("c").alias("ca"))
+    met = rest.join(held.select("band", F.col("t").alias("b"), F.col("c").alias("cb"), "top"), "band")
+    return ordered(met.filter("ca <> cb and (cb = top or a < b)"))
+
+
+def alike(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sketches agree to ``similarity``, less two standard errors."""
+    side = lambda c: own.select(F.col("t").alias(c), F.col("sketch").alias(f"s{c}"))
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -128,6 +150,28 @@ def likely(own: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def likely(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints of texts that meet in a band and are alike.
+
+    ``rows`` are those of ``fingerprints``, ``roots`` (node, root) the components so far. All texts that
+    meet in a band are compared, but for pairs that are in one component already.
+    """
+
+    def at(own: DataFrame, roots: DataFrame) -> DataFrame:
+        return own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("t", "fp", "sketch", F.coalesce("root", "fp").alias("c"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        of = lambda c: own.select(F.col("t").alias(c), F.col("fp").alias(f"f{c}"))
+        return alike(pairs, own, similarity).join(of("a"), "a").join(of("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
+
+    own = staged(rows.groupBy(F.xxhash64("sha").alias("t")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    first = staged(linked(first_pairs(banded(at(own, roots)))), "links")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(known.unionByName(first))
+    flat = staged(banded(at(own, roots)), "bands")
+    return first.unionByName(staged(linked(other_pairs(flat)), "links"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable), sha, root.
 
@@ -136,9 +180,12 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius
     With ``similarity`` texts that are so alike by their sketches are linked as well.
     """
     rows = staged(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("sketch").alias("sketch")), "distinct")
+    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     near = links(own, radius)
-    roots = components(near if similarity is None else near.unionByName(likely(own, similarity)))
+    if similarity is not None:
+        near = staged(near, "links")
+        near = near.unionByName(likely(rows, components(near), similarity))
+    roots = components(near)
     whole = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(whole.join(least, "root").select("fp", "component_id", "root"), "named")

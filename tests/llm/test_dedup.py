@@ -167,3 +167,51 @@ def test_anchor_is_the_same_in_every_copy():
     h[200:260] = h[20:80]
     a = substring.anchors(h, 18)
     assert (a[200:243] - 200 == a[20:63] - 20).all()
+
+
+def test_all_that_meet_in_a_band_are_compared_but_for_pairs_of_one_component(spark):
+    r = random.Random(8)
+    rows = [(t, r.choice([1, 1, 1, t]), band) for t in range(60) for band in r.sample(range(12), 3)]
+    flat = spark.createDataFrame(rows, "t long, c long, band long")
+    of = {}
+    for t, c, _ in rows:
+        of.setdefault(t, c)
+    flat = spark.createDataFrame([(t, of[t], band) for t, _, band in rows], "t long, c long, band long")
+    bands = defaultdict(set)
+    for t, _, band in rows:
+        bands[band].add(t)
+    want = {(a, b) for m in bands.values() for a in m for b in m if a > b and of[a] != of[b]}
+    assert {(x.a, x.b) for x in simhash.other_pairs(flat).collect()} == want
+
+
+def templated(seed, template, own, n=300, copies=40):
+    """Pages that share a template, and near copies of some of them: (id, text) rows."""
+    r = random.Random(seed)
+    head = [f"head{r.randrange(10**6)}" for _ in range(template)]
+    pages = [head + [f"w{r.randrange(10**6)}" for _ in range(own)] for _ in range(n)]
+    near = [[*p[:-3], "one", "two", f"end{i}"] for i, p in enumerate(pages[:copies])]
+    texts = [" ".join(p) for p in pages + near]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def jaccard_groups(rows, similarity, shingle=5):
+    sets = [set(simhash.shingle_hashes(t, shingle).tolist()) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    return Counter(find(i) for i in range(len(rows)))
+
+
+def test_near_copies_in_a_templated_family_are_found(spark):
+    rows = templated(4, 160, 90)
+    groups = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
+    assert sorted(Counter(r.component_id for r in groups).values()) == sorted(jaccard_groups(rows, 0.8).values())
