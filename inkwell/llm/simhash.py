@@ -5,14 +5,15 @@ Each distinct fingerprint emits all values within r; those that meet at a value
 are linked to the smallest one there. All that meet are within 2r of each other,
 so a star keeps the components of the full graph without its pairs.
 
-A radius that the balls allow finds texts of a Jaccard similarity near 1 only. Where
-a similarity is asked for, min-wise sketches of the same shingles give more links:
-texts that agree in a band meet, and are compared by their whole sketches.
+A radius that the balls allow finds texts of a Jaccard similarity near 1 only, and links
+some that share a template. Where a similarity is asked for, these links are checked
+on the texts, and min-wise sketches of the same shingles give more to be checked: texts that agree in a band meet, and are compared by their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,8 +29,8 @@ SHINGLE, RADIUS, SEED, CHUNK = 3, 2, 42, 1 << 16
 #: Values of a sketch, 16 bits each, and how many of them a band has. Texts of
 #: similarity 0.8 meet in a band with probability 0.998.
 BINS, BAND = 128, 6
-#: A sketch's estimate may be so much below the similarity asked for: two standard errors.
-ERROR = 0.07
+#: Texts whose sketches' estimate is further below the similarity asked for are not read: six standard errors at 0.8.
+ERROR = 0.21
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,6 +71,12 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((x == y).mean()) if len(x) and len(x) == len(y) else 0.0
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets, as sorted distinct hashes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
     """doc_id, sha (of the text), fp (signed long) and sketch (empty if not asked for) of each document; null text has fp 0."""
     small_batches(docs.sparkSession)
@@ -136,40 +143,52 @@ def other_pairs(flat: DataFrame) -> DataFrame:
     return ordered(met.filter("ca <> cb and (cb = top or a < b)"))
 
 
-def alike(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of texts whose sketches agree to ``similarity``, less two standard errors."""
+def alike(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets have that Jaccard similarity.
+
+    Sketches only spare the reading of texts that are far from it. ``docs`` has t and body.
+    """
     side = lambda c: own.select(F.col("t").alias(c), F.col("sketch").alias(f"s{c}"))
+    schema = "a long, b long"
 
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b, x, y = (part.column(i) for i in range(4))
-            good = pa.array([likeness(p, q) >= similarity - ERROR for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+    def pairs_by(likeness: Callable[[object, object], float], least: float, value: Callable = lambda x: x) -> Callable:
+        def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = lru_cache(maxsize=64)(value)
+            for part in parts:
+                a, b, x, y = (part.column(i) for i in range(4))
+                good = pa.array([likeness(of(p), of(q)) >= least for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
+        return compare
+
+    shingles = lambda text: np.unique(shingle_hashes(text, shingle))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(compare, "a long, b long")
+    close = staged(both.mapInArrow(pairs_by(lambda p, q: 1.0 if p == q else likeness(p, q), similarity - ERROR), schema), "close")
+    asked = close.select(F.col("a").alias("t")).unionByName(close.select(F.col("b").alias("t"))).distinct()
+    bodies = staged(docs.join(asked, "t", "left_semi").dropDuplicates(["t"]), "bodies")
+    of = lambda c: bodies.select(F.col("t").alias(c), F.col("body").alias(f"t{c}"))
+    both = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+    good = staged(both.mapInArrow(pairs_by(jaccard, similarity, shingles), schema), "alike")
+    drop(bodies)
+    return good
 
 
-def likely(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints of texts that meet in a band and are alike.
+def likely(rows: DataFrame, near: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) between texts that are alike, of those that meet in a band or by their fingerprints.
 
-    ``rows`` are those of ``fingerprints``, ``roots`` (node, root) the components so far. All texts that
-    meet in a band are compared, but for pairs that are in one component already.
+    ``rows`` are those of ``fingerprints`` with node, the text's key, ``near`` the links of fingerprints, ``docs``
+    (t, body) the texts. All that meet in a band are compared, but for pairs that are in one component already.
     """
-
-    def at(own: DataFrame, roots: DataFrame) -> DataFrame:
-        return own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("t", "fp", "sketch", F.coalesce("root", "fp").alias("c"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        of = lambda c: own.select(F.col("t").alias(c), F.col("fp").alias(f"f{c}"))
-        return alike(pairs, own, similarity).join(of("a"), "a").join(of("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
-
-    own = staged(rows.groupBy(F.xxhash64("sha").alias("t")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
-    first = staged(linked(first_pairs(banded(at(own, roots)))), "links")
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(known.unionByName(first))
-    flat = staged(banded(at(own, roots)), "bands")
-    return first.unionByName(staged(linked(other_pairs(flat)), "links"))
+    own = staged(rows.groupBy(F.col("node").alias("t")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    stands = staged(own.groupBy("fp").agg(F.min("t").alias("m")), "stands")
+    same = join_hot(own.select("t", "fp"), stands, "fp").filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
+    side = lambda c: stands.select(F.col("fp").alias(f"f{c}"), F.col("m").alias(c))
+    across = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("a"), "fa").join(side("b"), "fb").select("a", "b")
+    met = first_pairs(banded(own.withColumn("c", F.col("t"))))
+    first = alike(ordered(met.unionByName(same).unionByName(across)), own, docs, similarity, shingle)
+    roots = components(first).select(F.col("node").alias("t"), "root")
+    flat = staged(banded(own.join(roots, "t", "left").withColumn("c", F.coalesce("root", "t"))), "bands")
+    return first.unionByName(alike(other_pairs(flat), own, docs, similarity, shingle))
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -177,20 +196,20 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius
 
     Null text is empty; all texts without words have fingerprint 0 and are linked like any other.
     Null ids are no component's smallest unless it has no other. An empty table gives no rows.
-    With ``similarity`` texts that are so alike by their sketches are linked as well.
+    With ``similarity`` texts are linked if their shingle sets are so alike (Jaccard), whatever their fingerprints.
     """
-    rows = staged(fingerprints(docs, text, key, shingle, similarity is not None), "fingerprints")
-    own = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    near = links(own, radius)
+    rows = fingerprints(docs, text, key, shingle, similarity is not None)
+    rows = staged(rows.withColumn("node", F.col("fp") if similarity is None else F.xxhash64("sha")), "fingerprints")
+    own = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct")
+    near = links(rows.select("fp").distinct(), radius)
     if similarity is not None:
-        near = staged(near, "links")
-        near = near.unionByName(likely(rows, components(near), similarity))
-    roots = components(near)
-    whole = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        bodies = docs.select(F.xxhash64(digest(text)).alias("t"), text_of(text).alias("body"))
+        near = likely(rows, near, bodies, similarity, shingle)
+    whole = own.join(components(near), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(whole.join(least, "root").select("fp", "component_id", "root"), "named")
+    named = staged(whole.join(least, "root").select("node", "component_id", "root"), "named")
     drop(own)
-    return join_hot(rows.drop("sketch"), named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
+    return join_hot(rows.drop("sketch"), named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:

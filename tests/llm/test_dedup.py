@@ -215,3 +215,10 @@ def test_near_copies_in_a_templated_family_are_found(spark):
     rows = templated(4, 160, 90)
     groups = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
     assert sorted(Counter(r.component_id for r in groups).values()) == sorted(jaccard_groups(rows, 0.8).values())
+
+
+def test_pages_below_the_similarity_are_not_linked(spark):
+    rows = templated(6, 170, 30)
+    groups = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8).collect()
+    want = jaccard_groups(rows, 0.8)
+    assert sorted(Counter(r.component_id for r in groups).values()) == sorted(want.values()) and len(want) > 200
