@@ -172,17 +172,24 @@ def margin_notes(classified: DataFrame) -> DataFrame:
 def page_overlaps(a: DataFrame, b: DataFrame, candidates: DataFrame | None = None, least: float = 0.25) -> DataFrame:
     """(a, b, score) for pages of two editions, each with id and text: shared words over the smaller set.
 
-    Without ``candidates`` (a, b) pairs come from an inverted index over words, of
-    which those on over a tenth of the pages say nothing and are left out of the
-    search, not of the score.
+    Without ``candidates`` all pairs (a, b) are searched. The smaller set of a pair that scores ``least`` has one of
+    its rarest words, so many as may be missing and one more, in the other: sets are looked up by these, equal sets once.
     """
     x = a.select(F.col("id").alias("a"), word_set(F.col("text")).alias("wa"))
     y = b.select(F.col("id").alias("b"), word_set(F.col("text")).alias("wb"))
     if candidates is None:
-        n = x.count()
-        rare = y.select("b", F.explode("wb").alias("w"))
-        common = rare.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > max(3, n // 10)).select("w")
-        candidates = x.select("a", F.explode("wa").alias("w")).join(rare.join(common, "w", "left_anti"), "w").select("a", "b").distinct()
+        key = lambda w: F.xxhash64(F.array_sort(w))
+        x, y = (t.filter(F.size(w) > 0).withColumn(k, key(F.col(w))) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
+        p, q = (t.select(F.col(k).alias("k"), F.col(w).alias("w")).dropDuplicates(["k"]) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
+        words = p.unionByName(q).dropDuplicates(["k"]).select("k", F.size("w").alias("size"), F.explode(F.transform("w", lambda v: F.xxhash64(v))).alias("word"))
+        ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+        rank = F.row_number().over(Window.partitionBy("k").orderBy("n", "word"))
+        rare = ranked.withColumn("i", rank).filter(F.col("i") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).select("k", "word", "size")
+        met = rare.alias("s").join(words.alias("l"), F.expr("s.word = l.word and s.size <= l.size")).select(F.col("s.k").alias("s"), F.col("l.k").alias("l")).distinct()
+        met = met.unionByName(met.select(F.col("l").alias("s"), F.col("s").alias("l"))).distinct()
+        scored = met.join(p.select(F.col("k").alias("s"), F.col("w").alias("ws")), "s").join(q.select(F.col("k").alias("l"), F.col("w").alias("wl")), "l")
+        scored = scored.select(F.col("s").alias("ka"), F.col("l").alias("kb"), overlap(F.col("ws"), F.col("wl")).alias("score")).filter(F.col("score") >= least)
+        return scored.join(x.select("a", "ka"), "ka").join(y.select("b", "kb"), "kb").select("a", "b", "score")
     t = candidates.select("a", "b").distinct().join(x, "a").join(y, "b")
     return t.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= least)
 

@@ -288,3 +288,16 @@ def test_streams_equal_batches(spark, tmp_path):
     want = A.chain_units(events.withColumn("o", F.struct("ts", "event_id")), ["user_id"], "o", F.col("event_type") == "signup").select("user_id", "event_id", "unit")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert E.deduplicated(events.union(events)).count() == events.select("event_id").distinct().count()
+
+
+def test_near_pages_equal_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(80)]
+    texts = [" ".join(r.choices(vocabulary, k=r.choice([3, 12, 30]))) for _ in range(30)]
+    texts += [t + " newword" for t in texts[:12]] + [texts[20][:40]] + ["copies of the largest group here"] * 25 + ["", "a b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [set(re.findall("[a-z]{4,}", (t or "").lower())) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.9 * min(len(sets[a]), len(sets[b]))}
+    assert any((a - b) % 2 == 0 for a, b in want) and len(want) > 300
+    got = [(x.a, x.b) for x in catalogue.QUERIES["near_pages"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
