@@ -2,7 +2,7 @@
 
 Base patterns find e-mail and IP addresses, card and phone numbers. These seed a
 bootstrap: the words before a seed are a lexical pattern, all tokens with digits
-or @ are instances, and patterns and instances score each other in rounds over
+or @ and digit groups set apart by spaces are instances, and patterns and instances score each other in rounds over
 the pattern-instance graph of the whole corpus. Identifiers that no base pattern
 matches are found where patterns of high confidence agree on them.
 """
@@ -27,9 +27,13 @@ BASE = {
 KINDS = list(BASE)
 #: A token with a digit or @: what the bootstrap may call an identifier.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Digit groups set apart by single spaces, brackets allowed: an identifier may be written so.
+SPACED = r"(?<![^\x20\x09-\x0D(])\(?+[0-9][0-9()./-]*+(?:\x20\(?+[0-9][0-9()./-]*+(?![^\x20\x09-\x0D,;:!?\"']))++"
 #: A pattern needs so many distinct known instances of a kind, and this share of
 #: all its instances; an instance needs this score and so many patterns.
-LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_PATTERNS, ROUNDS = 3, 0.6, 0.9, 2, 3
+LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_PATTERNS = 3, 0.6, 0.9, 2
+#: The bootstrap goes on until a round finds nothing new; with so many it is given up.
+MOST_ROUNDS = 60
 #: Digits that a new identifier has at least, unless it has an @ between letters.
 LEAST_DIGITS = 6
 CONTEXT = 64
@@ -54,17 +58,17 @@ def valid(kind: Column, m: Column) -> Column:
 
 
 def matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """r (row), doc_id and items: all matches of base patterns and tokens, with the length and end of the gap before each."""
+    """r (row), doc_id and items: all matches of base patterns, tokens and spaced groups, with the length and end of the gap before each."""
     t = docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("doc_id"), text_of(text).alias("t"))
     digit = F.col("t").rlike("[0-9]")
-    guards = {"email": F.contains("t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("t", F.lit("+")), "token": F.col("t").rlike("[0-9@]")}
+    guards = {"email": F.contains("t", F.lit("@")), "ip": digit, "card": digit, "phone": F.contains("t", F.lit("+")), "token": F.col("t").rlike("[0-9@]"), "spaced": F.col("t").rlike(r"[0-9()./-]\x20\(?[0-9]")}
     none = F.array().cast("array<string>")
-    patterns = BASE | {"token": TOKEN}
+    patterns = BASE | {"token": TOKEN, "spaced": SPACED}
     for kind, p in patterns.items():
         t = t.withColumn(f"m_{kind}", F.when(guards[kind], F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none))
 
     def items(kind: str, p: str) -> Column:
-        m, width = F.col(f"m_{kind}"), CONTEXT if kind == "token" else 0
+        m, width = F.col(f"m_{kind}"), 0 if kind in BASE else CONTEXT
         gaps = F.slice(F.when(F.size(m) > 0, F.split("t", p, -1)).otherwise(none), F.lit(1), F.size(m))
         item = lambda e, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), e["m"].alias("m"), F.length(e["g"]).alias("gap"), F.right(e["g"], F.lit(width)).alias("left"))
         return F.transform(F.arrays_zip(m.alias("m"), gaps.alias("g")), item)
@@ -82,14 +86,19 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 def edges(tokens: DataFrame) -> DataFrame:
-    """The corpus' pattern-instance graph: distinct (x, p), x a token without outer punctuation, p one or two words before it."""
+    """The corpus' pattern-instance graph: distinct (x, p), x a token or spaced groups without outer punctuation, p one or two words before it."""
     word = lambda i: F.lower(F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+" * i + "$", 1))
     pair = F.concat_ws(" ", word(2), word(1))
     named = tokens.withColumn("p", F.explode(F.array(word(1), F.when(word(2) != "", pair).otherwise(F.lit("")))))
     return named.filter("p <> ''").select("x", "p").distinct()
 
 
-def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def shaped(x: Column) -> Column:
+    """Whether ``x`` may be an identifier."""
+    return (F.length(F.regexp_replace(x, "[^0-9]", "")) >= LEAST_DIGITS) | x.rlike("[A-Za-z]@[A-Za-z]")
+
+
+def bootstrap(tokens: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(x, kind) of unseen identifiers, from ``tokens`` (x, left, seed: the kind of a base span in it, or null).
 
     Each round, a pattern's confidence in a kind is the share of its distinct
@@ -100,8 +109,8 @@ def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known = staged(tokens.filter("seed is not null").groupBy("x").agg(F.min("seed").alias("kind")), "known")
     seeds = known
     sizes = staged(graph.groupBy("p").agg(F.count("*").alias("n")), "patterns")
-    shape = (F.length(F.regexp_replace("x", "[^0-9]", "")) >= LEAST_DIGITS) | F.col("x").rlike("[A-Za-z]@[A-Za-z]")
-    for _ in range(rounds):
+    shape = shaped(F.col("x"))
+    for _ in range(most_rounds):
         held = graph.join(known, "x").groupBy("p", "kind").agg(F.count("*").alias("f"))
         good = held.filter(F.col("f") >= LEAST_SEEDS).join(sizes, "p").withColumn("c", F.col("f") / F.col("n")).filter(F.col("c") >= LEAST_CONFIDENCE)
         scored = graph.filter(shape).join(good, "p").join(known.select("x"), "x", "left_anti").groupBy("x", "kind")
@@ -109,34 +118,39 @@ def bootstrap(tokens: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = scored.filter((F.col("s") >= LEAST_SCORE) & (F.col("n") >= LEAST_PATTERNS))
         new = staged(new.groupBy("x").agg(F.max_by("kind", F.struct("s", "n", "kind")).alias("kind")), "new")
         if new.isEmpty():
-            break
+            return known.join(seeds.select("x"), "x", "left_anti")
         known = known.unionByName(new)
-    return known.join(seeds.select("x"), "x", "left_anti")
+    raise RuntimeError(f"the bootstrap has not converged after {most_rounds} rounds")
 
 
-def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, found (all spans: start, rank, kind, end, base; sorted).
 
     Null text is empty; rows that repeat an id are documents of their own. An empty
     table gives no rows. ``rank`` orders kinds that start at one place.
     """
     rows = staged(matches(docs, text, key), "matches")
-    spots = staged(located(rows).filter((F.col("kind") == "token") | valid(F.col("kind"), F.col("m"))), "spots")
+    is_base = F.col("kind").isin(KINDS)
+    spots = staged(located(rows).filter(~is_base | valid(F.col("kind"), F.col("m"))), "spots")
     rank = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
-    base = spots.filter("kind <> 'token'").select("r", "start", rank.alias("rank"), "kind", "end", F.lit(True).alias("base"))
+    base = spots.filter(is_base).select("r", "start", rank.alias("rank"), "kind", "end", F.lit(True).alias("base"))
     # In the order of starts, a token knows the base spans that began before it and the next one.
-    line = Window.partitionBy("r").orderBy("start", F.col("kind") == "token")
-    is_base = F.col("kind") != "token"
+    line = Window.partitionBy("r").orderBy("start", ~is_base)
     past = F.max(F.when(is_base, F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
     here = F.col("start")
     after = F.min(F.when(is_base, F.struct(here.alias("start"), F.col("kind"), F.col("m")))).over(Window.partitionBy("r").orderBy("start").rangeBetween(0, Window.unboundedFollowing))
     lead = F.regexp_extract("m", r"^[^\p{L}\p{N}+]*", 0)
     core = F.regexp_replace("m", r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-    tokens = spots.withColumn("past", past).withColumn("after", after).filter("kind = 'token'")
+    tokens = spots.withColumn("past", past).withColumn("after", after).filter(~is_base)
     tokens = tokens.withColumn("seed", F.when(F.col("after.start") < F.col("end"), F.col("after.kind")))
-    tokens = tokens.filter(F.col("seed").isNotNull() | F.coalesce(F.col("past") <= here, F.lit(True)))
-    tokens = staged(tokens.select("r", (here + F.length(lead)).alias("start"), F.when(F.col("seed").isNotNull(), F.col("after.m")).otherwise(core).alias("x"), "left", "seed").filter("x <> ''"), "tokens")
-    new = bootstrap(tokens, rounds)
+    # A token that holds a base span is a seed; spaced groups only add what holds none.
+    tokens = tokens.filter(((F.col("kind") == "token") & F.col("seed").isNotNull()) | F.col("seed").isNull() & F.coalesce(F.col("past") <= here, F.lit(True)))
+    found = F.when(F.col("seed").isNotNull(), F.col("after.m")).otherwise(core)
+    tokens = tokens.select("r", (here + F.length(lead)).alias("start"), found.alias("x"), "left", "seed", "kind").filter("x <> ''")
+    # One instance a place: a token that may be an identifier, or else the spaced groups it begins.
+    first = Window.partitionBy("r", "start").orderBy(((F.col("kind") == "token") & (F.col("seed").isNotNull() | shaped(F.col("x")))).desc(), "kind")
+    tokens = staged(tokens.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "kind"), "tokens")
+    new = bootstrap(tokens, most_rounds)
     added = tokens.filter("seed is null").join(new, "x").select("r", "start", rank.alias("rank"), "kind", (F.col("start") + F.length("x")).alias("end"), F.lit(False).alias("base"))
     spans = base.unionByName(added).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "base"))).alias("found"))
     out = rows.select("r", "doc_id").join(spans, "r", "left")

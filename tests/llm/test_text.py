@@ -277,6 +277,25 @@ def test_bootstrap_finds_what_contexts_agree_on(spark):
     assert all(d in (100, 101) for d, *_ in new)
 
 
+def test_bootstrap_finds_numbers_written_with_spaces(spark):
+    rows = [(i, f"hello there call phone +1 (743) 555-{3000 + i} now. reach me +1 (200) 555-{1000 + i} please", "en", "a", 1) for i in range(40)]
+    rows += [(100, "so call phone (555) 123 4567 12th", "en", "a", 1), (101, "or reach me 555) 123 4567, today", "en", "a", 1)]
+    got = {x.doc_id: x for x in pii.personal_data(cases.table(spark, values=rows)).collect()}
+    texts = {d: t for d, t, *_ in rows}
+    assert {texts[d][s.start : s.end] for d in (100, 101) for s in got[d].found} == {"555) 123 4567"}
+
+
+def test_bootstrap_goes_on_until_nothing_is_new(spark):
+    # Instances of one hop seed the contexts of the next.
+    sizes = [110, 44, 17, 7, 3, 1]
+    tokens = [(f"{hop}00{i:04}", f"{side}{hop + k} ", "phone" if hop == 0 else None) for hop, n in enumerate(sizes) for i in range(n) for k in (0, 1) for side in "pq"]
+    frame = spark.createDataFrame(tokens, "x string, left string, seed string")
+    got = {r.x for r in pii.bootstrap(frame).collect()}
+    assert got == {x for x, _, seed in tokens if seed is None}
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(frame, 3)
+
+
 def test_op8_columns(spark, tmp_path):
     rows = [(1, "mail a@b.co or 1.2.3.4", "en", "a", 1), (2, None, None, None, None)]
     cases.table(spark, values=rows).write.parquet(f"{tmp_path}/documents.parquet")
