@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,12 @@ COUNTERS = 4096
 #: Documents in one Arrow batch; a batch of very long texts stays within a worker's memory.
 BATCH_ROWS = 256
 
+#: Bytes of text that an Arrow batch is cut at, where the Spark version knows this bound.
+BATCH_BYTES = 8 << 20
+
 _staged: dict[str, SparkSession] = {}
+_own_folders: list[str] = []
+_calls = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,13 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+    _own_folders.append(tempfile.mkdtemp(prefix="inkwell-"))
+    folder = "file://" + _own_folders[-1]
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds Arrow batches of this session in rows and bytes, as results of the operators are read later. A smaller bound that is set stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +61,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/inkwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     _staged[path] = spark
+    if getattr(_calls, "open", None):
+        _calls.open[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path
     return out
@@ -54,7 +70,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    path = getattr(df, "_inkwell_path", None)
+    remove(getattr(df, "_inkwell_path", None))
+
+
+def remove(path: str | None) -> None:
     spark = _staged.pop(path, None)
     if spark is not None:
         with contextlib.suppress(Exception):
@@ -67,8 +86,32 @@ def drop(df: DataFrame) -> None:
 def release() -> None:
     """Delete all staged tables. Call it when no result of an operator is read any more."""
     for path in list(_staged):
-        frame = type("Gone", (), {"_inkwell_path": path})
-        drop(frame)
+        remove(path)
+    while _own_folders:
+        shutil.rmtree(_own_folders.pop(), ignore_errors=True)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that deletes the tables it staged but for those its result reads, which stay until ``release``."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        if not hasattr(_calls, "open"):
+            _calls.open = []
+        _calls.open.append([])
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            made = _calls.open.pop()
+        read = {part for file in out.inputFiles() for part in file.split("/")[-2:-1]}
+        kept = [path for path in made if path.rsplit("/", 1)[1] in read]
+        for path in set(made).difference(kept):
+            remove(path)
+        if _calls.open:
+            _calls.open[-1].extend(kept)
+        return out
+
+    return run
 
 
 def text_of(column: str | Column = "text") -> Column:
@@ -86,13 +129,15 @@ def hot_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     return found.select(F.explode("k_freqItems").alias(key)).filter(F.col(key).isNotNull())
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, counters: int = COUNTERS, hot: DataFrame | None = None) -> DataFrame:
     """Left join on ``key``; ``right`` has each key once. Rows of hot keys of ``left`` are not shuffled.
 
-    What is broadcast are the rows of ``right`` for at most ``counters`` keys.
+    What is broadcast are the rows of ``right`` for at most ``counters`` keys; ``right``
+    has narrow rows. ``hot`` are the hot keys where they are known already.
     """
-    hot = staged(right.join(F.broadcast(hot_keys(left, key, counters)), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
-    marked = left.join(F.broadcast(hot), key, "left")
+    keys = hot_keys(left, key, counters) if hot is None else hot
+    found = staged(right.join(F.broadcast(keys), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
+    marked = left.join(F.broadcast(found), key, "left")
     cold = marked.filter("_hot is null").select(*left.columns).join(right, key, "left")
     return marked.filter("_hot").select(*cold.columns).unionByName(cold)
 
@@ -102,20 +147,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates the large-star and small-star steps of Kiveris et al. 2014; each
     step is a grouped minimum (combined on the map side) and a join, staged so
-    that no plan grows with the number of rounds. Raises if not converged.
+    that no plan grows with the number of rounds. Hubs, such as the root of a giant
+    component, are joined on the map side. Raises if not converged.
     """
     spark = edges.sparkSession
     now = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # No node has more rows in the second step than in the first, whose rows are at most twice as many.
+        hubs = staged(hot_keys(both, "u", 2 * COUNTERS), "hubs")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, least, "u", hot=hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
+        pairs = join_hot(large, least, "u", hot=hubs)
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(pairs.select("u", F.col("m").alias("v"))).distinct()
         after = staged(small, "edges")
         (n, s), (n2, s2) = (_mark(x) for x in (now, after))
-        drop(now)
+        for gone in (now, large, hubs):
+            drop(gone)
         now = after
         if (n, s) == (n2, s2):
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import COUNTERS, drop, hot_keys, staged, text_of
+from .common import COUNTERS, hot_keys, staged, text_of, tidied
 
 
 def digest(text: str | Column = "text") -> Column:
@@ -26,6 +26,7 @@ def winners(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return staged(counted.filter(F.col("_n") > F.lit(least)), "winners")
 
 
+@tidied
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -47,10 +48,16 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", count
     return hot.unionByName(out(cold, F.col("a"), F.col("n"), F.col("kept")))
 
 
+@tidied
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; semantics as in ``exact_groups``."""
+    """The rows of ``docs`` that stay, with all their columns; semantics as in ``exact_groups``.
+
+    Digests are staged alone, so that the heavy-hitter steps read no text. Rows of
+    frequent digests that cannot stay are dropped on the map side; the others are
+    shuffled once.
+    """
+    won = winners(staged(docs.select(digest(text).alias("k"), F.col(key).alias("o")), "digests"), counters)
     rows = docs.select(digest(text).alias("k"), F.col(key).alias("o"), F.struct("*").alias("row"))
-    won = winners(rows.select("k", "o"), counters)
     marked = rows.join(F.broadcast(won), "k", "left")
     hot = marked.filter("_n is not null").filter(F.col("o").eqNullSafe(F.col("_top"))).groupBy("k").agg(F.first("row").alias("row"))
     first = Window.partitionBy("k").orderBy(F.col("o").desc_nulls_last())

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, staged, text_of, tidied
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Slope of a source's schedule, by the order of sources: falling, even, rising.
@@ -95,6 +95,7 @@ def placed_rows(docs: DataFrame, text: str, key: str, source: str, weights: Sequ
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_min(positions).alias("first_position"), F.array_max(positions).alias("last_position"), "h", *(["row"] if carry else []))
 
 
+@tidied
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, first_position, last_position.
 
@@ -109,11 +110,14 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return out.orderBy(F.coalesce("first_position", F.lit(2.0)), F.when(F.col("first_position").isNull(), F.col("h"))).drop("h")
 
 
+@tidied
 def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, tilts: Sequence[float] = TILTS) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, in training order, all columns kept.
 
     Whole documents only: a taking in part counts if it is at least half of the
-    document. Documents without words cost nothing and stay, once.
+    document. Documents without words cost nothing and stay, once. Null text has no
+    words, null is a source of its own, rows that repeat an id are documents of their
+    own. An empty table gives no rows.
     """
     placed = placed_rows(docs, text, key, source, weights, share, most, tilts, True)
     times = F.floor((F.col("taken") + F.expr("size div 2")) / F.greatest("size", F.lit(1))).cast("int")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, join_hot, small_batches, staged, text_of
+from .common import components, drop, join_hot, small_batches, staged, text_of, tidied
 from .exact import digest
 
 SHINGLE, RADIUS, SEED, CHUNK = 3, 2, 42, 1 << 16
@@ -191,6 +191,7 @@ def likely(rows: DataFrame, near: DataFrame, docs: DataFrame, similarity: float,
     return first.unionByName(alike(other_pairs(flat), own, docs, similarity, shingle))
 
 
+@tidied
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest id reachable), sha, root.
 
@@ -206,19 +207,28 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius
         bodies = docs.select(F.xxhash64(digest(text)).alias("t"), text_of(text).alias("body"))
         near = likely(rows, near, bodies, similarity, shingle)
     whole = own.join(components(near), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    whole = staged(whole, "roots")
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(whole.join(least, "root").select("node", "component_id", "root"), "named")
+    named = staged(join_hot(whole.select("node", "root"), least, "root").select("node", "component_id", "root"), "named")
+    drop(whole)
     drop(own)
     return join_hot(rows.drop("sketch"), named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
 
 
+@tidied
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per group stays: that of its smallest id (and text digest)."""
+    """The rows of ``docs``, all columns, of which one per group stays: that of its smallest id (and text digest).
+
+    Null and empty texts are one text without words. A null id is an id of its own,
+    which stays only in a group without any other. Of rows that repeat both id and
+    text one stays. An empty table gives no rows.
+    """
     groups = near_groups(docs, text, key, radius, shingle, similarity)
     own = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = own.groupBy("root").agg(F.min(F.struct("doc_id", "sha")).alias("x")).select("x.*")
-    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("i"), digest(text).alias("s"), F.struct("*").alias("row"))
-    stay = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("i"), F.col("sha").alias("s"))
+    named = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("")).alias("i")
+    rows = docs.select(named(key), digest(text).alias("s"), F.struct("*").alias("row"))
+    stay = stay.select(named("doc_id"), F.col("sha").alias("s"))
     one = rows.join(stay, ["i", "s"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("i", "s").orderBy(F.lit(1))))
     return one.filter("n = 1").select("row.*")
 

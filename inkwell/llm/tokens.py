@@ -32,9 +32,10 @@ def encoder(vocabulary: str):
 
 
 def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep: Sequence[str] = ()) -> DataFrame:
-    """Columns ``keep`` of each document and n_tokens; null text has none."""
+    """Columns ``keep`` of each document and n_tokens; null text has none. Kept columns may have any name but n_tokens."""
     small_batches(docs.sparkSession)
     keep = list(keep)
+    body = next(n for i in range(len(keep) + 1) if (n := f"_body{i}") not in keep)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
@@ -42,7 +43,7 @@ def token_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABUL
             counts = pa.array([len(encode(x)) for x in part.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns[1:], counts], names=[*keep, "n_tokens"])
 
-    rows = docs.select(text_of(text).alias("_body"), *keep)
+    rows = docs.select(text_of(text).alias(body), *keep)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
     return rows.mapInArrow(batches, ", ".join([*kinds, "n_tokens long"]))
 
@@ -65,7 +66,8 @@ def length_histogram(lengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """For each context limit: context, docs_cut, tokens_kept. Any limit is answered, also between two lengths."""
+    """For each context limit: context, docs_cut, tokens_kept. Any limit is answered, also between two lengths; all are 0 for an empty histogram."""
+
     def answer(c: int) -> Column:
         cut = F.sum(F.when(F.col("n_tokens") > c, F.col("docs")).otherwise(0))
         return F.struct(F.lit(c).cast("long").alias("context"), F.coalesce(cut, F.lit(0)).alias("docs_cut"), F.coalesce(F.sum(F.least("n_tokens", F.lit(c)) * F.col("docs")), F.lit(0)).alias("tokens_kept"))
@@ -74,7 +76,7 @@ def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 
 def quantile(histogram: DataFrame, share: float) -> DataFrame:
-    """The smallest length that at least ``share`` of all documents do not exceed."""
+    """The smallest length that at least ``share`` of all documents do not exceed; one row, null for an empty histogram."""
     return histogram.filter(F.col("share_up_to") >= share).agg(F.min("n_tokens").alias("n_tokens"))
 
 
