@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.llm import mixing, packing, pii, quality, rules, tokens, toxicity
@@ -304,15 +305,26 @@ def test_op8_columns(spark, tmp_path):
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
 
 
-def test_words_encode_as_whole_texts():
+ODD = "a b Z İ ı ß ſ é é ́ ̇ ñ Ǆ Σ ς ΑΣ ﬁ 中 文 한 𝒜 🙂 0 7 ½ Ⅻ . , ! ' ’ - _ <| |> <|endoftext|> ( ) # ing The = ̸".split(" ")
+ODD += [" ", "\n", "\t", "\x0b", "\x0c", "\r", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "\x00", "\x1f", "\ufeff", "w" * 30]
+
+
+def test_ids_equal_the_tokenizers(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = [x or "" for _, x, *_ in cases.rows()] + ["It's <|endoftext|> odd<|startoftext|>ly 12.5% Straße ΣΑΣ é x ́y\x0b\x1cz a don't　'll", "́ ́", "a\u0085b"]
-    got = packing.Encoder(packing.VOCABULARY).encode_batch(texts, 1)
-    for x, raw in zip(texts, got):
-        assert np.frombuffer(raw, "<u2").tolist() == t.encode(x, add_special_tokens=False).ids + [1]
+    r = random.Random(11)
+    texts = [x or "" for _, x, *_ in cases.rows()] + ["It's <|endoftext|> odd<|startoftext|>ly 12.5% Straße ΣΑΣ é x ́y\x0b\x1cz a don't　'll", "́ ́", "a\u0085b"]
+    texts += ["İ.", "DİYARBAKIR'DA, İZMİR!", "İ" * 2000 + ".", "x" * 5000 + "!"]
+    texts += ["".join(r.choice(ODD) for _ in range(r.randrange(30))) for _ in range(8000)]
+    want = [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    monkeypatch.setattr(packing, "REMEMBERED", 500)  # words are forgotten and met again
+    enc = packing.Encoder(packing.VOCABULARY)
+    for i in range(0, len(texts), 100):
+        got = enc.encode_batch(pa.array(texts[i : i + 100]), 1).to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want[i : i + 100]
+    assert enc.encode_batch(pa.array(["x"] + texts[:3])[1:], 1).to_pylist() == enc.encode_batch(pa.array(texts[:3]), 1).to_pylist()
 
 
 @pytest.mark.parametrize("shard", [(3, 10**9), (4096, 4_000_000)])
@@ -321,7 +333,7 @@ def test_packing_is_an_exact_round_trip(spark, shard):
     got = packing.pack(docs, shard_docs=shard[0], shard_tokens=shard[1]).collect()
     texts = defaultdict(list)
     for d, t, *_ in cases.rows():
-        texts[d].append(packing.encoder(packing.VOCABULARY).encode_batch([t or ""], 1)[0])
+        texts[d].append(packing.encoder(packing.VOCABULARY).encode_batch(pa.array([t or ""]), 1)[0].as_py())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for x in got:
         by_doc[x.doc_id].append(x)
