@@ -1,10 +1,11 @@
 """Personal data by base patterns and bootstrapped contextual extraction (native).
 
 Base patterns find e-mail and IP addresses, card and phone numbers. These seed a
-bootstrap: the words before a seed are a lexical pattern, all tokens with digits
-or @ and digit groups set apart by spaces are instances, and patterns and instances score each other in rounds over
-the pattern-instance graph of the whole corpus. Identifiers that no base pattern
-matches are found where patterns of high confidence agree on them.
+bootstrap, and so do tokens of the shape of a secret: the words before a seed are a
+lexical pattern, all tokens with digits or @ and digit groups set apart by spaces are
+instances, and patterns and instances score each other in rounds over the
+pattern-instance graph of the whole corpus. Identifiers that no base pattern matches,
+and secrets, are found where patterns of high confidence agree on them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import COUNTERS, hot_keys, join_hot, staged, text_of, tidied
 
 # The patterns equal the plain ones, made linear: a run of the first class is
 # entered at its start or where the last match ended, and runs give nothing back.
@@ -34,9 +35,20 @@ SPACED = r"(?<![^\x20\x09-\x0D(])\(?+[0-9][0-9()./-]*+(?:\x20\(?+[0-9][0-9()./-]
 LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE, LEAST_PATTERNS = 3, 0.6, 0.9, 2
 #: The bootstrap goes on until a round finds nothing new; with so many it is given up.
 MOST_ROUNDS = 60
-#: Digits that a new identifier has at least, unless it has an @ between letters.
-LEAST_DIGITS = 6
-CONTEXT = 64
+#: Kind and shape of seeds that are spans only if patterns confirm them: long hexadecimal or mixed runs.
+SECRET = "secret"
+SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_/+=-]{24,})$"
+ALL_KINDS = [*KINDS, SECRET]
+#: What an identifier of each kind has to look like to be found by its patterns alone.
+SHAPES = {
+    "email": r"[A-Za-z0-9]@[A-Za-z]",
+    "ip": r"^[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){3,}$",
+    "card": r"^[^A-Za-z@]*(?:[0-9][^A-Za-z0-9@]*){12,19}$",
+    "phone": r"^[^A-Za-z@]*(?:[0-9][^A-Za-z0-9@]*){6,15}$",
+    SECRET: r"[A-Za-z0-9_/+=-]{16,}",
+}
+#: A pattern's words count by their last WORD_END characters, looked for in CONTEXT before the instance.
+WORD_END, CONTEXT = 24, 256
 
 
 def luhn(digits: Column) -> Column:
@@ -77,62 +89,86 @@ def matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return t.select("r", "doc_id", F.concat(*lists).alias("items"))
 
 
+def masked(m: Column) -> Column:
+    """A token as part of a context: addresses are alike, and so are digits."""
+    return F.regexp_replace(F.regexp_replace(m, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]", "x@x"), "[0-9]", "0")
+
+
 def located(rows: DataFrame) -> DataFrame:
-    """r, kind, start, end (code points, end exclusive), m and left of each item of ``rows``."""
+    """r, kind, start, end (code points, end exclusive), m and left of each item of ``rows``; left goes on over the item before."""
     flat = rows.select("r", F.inline("items"))
-    before = Window.partitionBy("r", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("m")).over(before)
-    return flat.select("r", "kind", (end - F.length("m")).alias("start"), end.alias("end"), "m", "left")
+    order = Window.partitionBy("r", "kind").orderBy("i")
+    end = F.sum(F.col("gap") + F.length("m")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.coalesce(F.lag(F.right("m", F.lit(CONTEXT))).over(order), F.lit(""))
+    left = F.when(F.col("kind").isin(KINDS), F.lit("")).when(F.col("gap") >= CONTEXT, F.col("left")).otherwise(F.concat(masked(last), "left"))
+    return flat.select("r", "kind", (end - F.length("m")).alias("start"), end.alias("end"), "m", left.alias("left"))
 
 
 def edges(tokens: DataFrame) -> DataFrame:
     """The corpus' pattern-instance graph: distinct (x, p), x a token or spaced groups without outer punctuation, p one or two words before it."""
-    word = lambda i: F.lower(F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+" * i + "$", 1))
-    pair = F.concat_ws(" ", word(2), word(1))
-    named = tokens.withColumn("p", F.explode(F.array(word(1), F.when(word(2) != "", pair).otherwise(F.lit("")))))
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    left = F.lower("left")
+    one = F.regexp_extract(left, rf"({word}{{1,{WORD_END}}}){space}+$", 1)
+    two = F.regexp_extract(left, rf"({word}{{1,{WORD_END}}}){space}+{word}+{space}+$", 1)
+    named = tokens.withColumn("p", F.explode(F.array(one, F.when(two != "", F.concat_ws(" ", two, one)).otherwise(F.lit("")))))
     return named.filter("p <> ''").select("x", "p").distinct()
 
 
-def shaped(x: Column) -> Column:
-    """Whether ``x`` may be an identifier."""
-    return (F.length(F.regexp_replace(x, "[^0-9]", "")) >= LEAST_DIGITS) | x.rlike("[A-Za-z]@[A-Za-z]")
+def shaped(x: Column, kind: Column | None = None) -> Column:
+    """Whether ``x`` may be an identifier of the kind, or of any."""
+    fits = [(k, x.rlike(p)) for k, p in SHAPES.items()]
+    if kind is None:
+        return reduce(lambda a, kp: a | kp[1], fits, F.lit(False))
+    return reduce(lambda c, kp: c.when(kind == kp[0], kp[1]), fits, F.when(F.lit(False), False))
 
 
 def bootstrap(tokens: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(x, kind) of unseen identifiers, from ``tokens`` (x, left, seed: the kind of a base span in it, or null).
+    """(x, kind) of unseen identifiers and confirmed secrets, from ``tokens`` (x, left, seed: the kind of a seed, or null).
 
     Each round, a pattern's confidence in a kind is the share of its distinct
     instances known to be of it; an unknown instance's score is the chance that
-    not all patterns that hold it are wrong. Sums are grouped in Spark.
+    not all patterns that hold it are wrong. Sums are grouped in Spark, and frequent
+    patterns and instances are joined on the map side.
     """
     graph = staged(edges(tokens), "graph")
+    hot = {c: staged(hot_keys(graph, c, COUNTERS), f"hot_{c}") for c in ("x", "p")}
     known = staged(tokens.filter("seed is not null").groupBy("x").agg(F.min("seed").alias("kind")), "known")
     seeds = known
     sizes = staged(graph.groupBy("p").agg(F.count("*").alias("n")), "patterns")
-    shape = shaped(F.col("x"))
-    for _ in range(most_rounds):
-        held = graph.join(known, "x").groupBy("p", "kind").agg(F.count("*").alias("f"))
+    shapely = graph.filter(shaped(F.col("x")))
+
+    def scored(known: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        """Instances of ``of`` (or, with how left_anti, of none of them) that the patterns of ``known`` agree on."""
+        held = join_hot(graph, known, "x", hot=hot["x"]).filter("kind is not null").groupBy("p", "kind").agg(F.count("*").alias("f"))
+        # Over half of a pattern's instances are of one kind, so it is good for one at most.
         good = held.filter(F.col("f") >= LEAST_SEEDS).join(sizes, "p").withColumn("c", F.col("f") / F.col("n")).filter(F.col("c") >= LEAST_CONFIDENCE)
-        scored = graph.filter(shape).join(good, "p").join(known.select("x"), "x", "left_anti").groupBy("x", "kind")
-        scored = scored.agg((1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(0.99)))))).alias("s"), F.count("*").alias("n"))
-        new = scored.filter((F.col("s") >= LEAST_SCORE) & (F.col("n") >= LEAST_PATTERNS))
-        new = staged(new.groupBy("x").agg(F.max_by("kind", F.struct("s", "n", "kind")).alias("kind")), "new")
+        good = staged(good.select("p", "kind", "c"), "good")
+        votes = join_hot(shapely, good, "p", hot=hot["p"]).filter(F.col("kind").isNotNull() & shaped(F.col("x"), F.col("kind"))).groupBy("x", "kind")
+        votes = votes.agg((1 - F.exp(F.sum(F.log1p(-F.least("c", F.lit(0.99)))))).alias("s"), F.count("*").alias("n"))
+        sure = votes.filter((F.col("s") >= LEAST_SCORE) & (F.col("n") >= LEAST_PATTERNS)).join(of.select("x"), "x", how)
+        return staged(sure.groupBy("x").agg(F.max_by("kind", F.struct("s", "n", "kind")).alias("kind")), "new")
+
+    for _ in range(most_rounds):
+        new = scored(known, known, "left_anti")
         if new.isEmpty():
-            return known.join(seeds.select("x"), "x", "left_anti")
+            found = known.join(seeds.select("x"), "x", "left_anti")
+            unsure = seeds.filter(F.col("kind") == SECRET)
+            return found.unionByName(scored(known, unsure, "left_semi").filter(F.col("kind") == SECRET))
         known = known.unionByName(new)
     raise RuntimeError(f"the bootstrap has not converged after {most_rounds} rounds")
 
 
+@tidied
 def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, found (all spans: start, rank, kind, end, base; sorted).
 
-    Null text is empty; rows that repeat an id are documents of their own. An empty
+    The four counts are of base spans; added ones are of these kinds or ``secret``. Null text is empty; rows that repeat an id are documents of their own. An empty
     table gives no rows. ``rank`` orders kinds that start at one place.
     """
     rows = staged(matches(docs, text, key), "matches")
     is_base = F.col("kind").isin(KINDS)
     spots = staged(located(rows).filter(~is_base | valid(F.col("kind"), F.col("m"))), "spots")
-    rank = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
+    rank = reduce(lambda c, k: c.when(F.col("kind") == k, ALL_KINDS.index(k)), ALL_KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     base = spots.filter(is_base).select("r", "start", rank.alias("rank"), "kind", "end", F.lit(True).alias("base"))
     # In the order of starts, a token knows the base spans that began before it and the next one.
     line = Window.partitionBy("r").orderBy("start", ~is_base)
@@ -149,9 +185,11 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", most
     tokens = tokens.select("r", (here + F.length(lead)).alias("start"), found.alias("x"), "left", "seed", "kind").filter("x <> ''")
     # One instance a place: a token that may be an identifier, or else the spaced groups it begins.
     first = Window.partitionBy("r", "start").orderBy(((F.col("kind") == "token") & (F.col("seed").isNotNull() | shaped(F.col("x")))).desc(), "kind")
-    tokens = staged(tokens.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "kind"), "tokens")
+    secret = F.when(F.col("seed").isNull() & F.col("x").rlike(SECRET_SHAPE), SECRET)
+    tokens = tokens.withColumn("n", F.row_number().over(first)).filter("n = 1").withColumn("seed", F.coalesce("seed", secret))
+    tokens = staged(tokens.drop("n", "kind"), "tokens")
     new = bootstrap(tokens, most_rounds)
-    added = tokens.filter("seed is null").join(new, "x").select("r", "start", rank.alias("rank"), "kind", (F.col("start") + F.length("x")).alias("end"), F.lit(False).alias("base"))
+    added = tokens.filter(F.coalesce("seed", F.lit(SECRET)) == SECRET).join(new, "x").select("r", "start", rank.alias("rank"), "kind", (F.col("start") + F.length("x")).alias("end"), F.lit(False).alias("base"))
     spans = base.unionByName(added).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "base"))).alias("found"))
     out = rows.select("r", "doc_id").join(spans, "r", "left")
     nothing = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean>>")
@@ -168,7 +206,7 @@ def written(spans: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.sha2(written(F.filter("found", lambda s: s["base"])), 256)
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), base.alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), base.alias("base_sha256"), written(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 SQL: dict[str, str] = {}  # the bootstrap is iterative; tests hold base spans against a plain regex scan
