@@ -3,7 +3,8 @@
 A logistic regression on measures of the text gives each document's evidence.
 Posterior means of hosts, and of paths within hosts, shrink sparse ones toward
 the level above: the strength of shrinkage is estimated from the spread between
-groups. A document's score adds its path's posterior to its own evidence.
+groups. A document's score adds to its own evidence its path's posterior from all
+other documents: its own is taken out of the sums first, so it counts once.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, small_batches, staged, text_of
+from .common import drop, hot_keys, small_batches, staged, text_of, tidied
 from .toxicity import MOST_LABELLED, labelled, logistic
 
 SYMBOLS, DIGITS, SPACE = b"#*$%&|<>!{}[]\\^~=_@", b"0123456789", b" \t\n\r\x0b\x0c"
@@ -66,14 +67,20 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", most: int = MOST_LABELLED) -> Model:
-    """Logistic regression on at most 2 * ``most`` labelled rows; those with crc32(id) mod 3 = 1 are left for tests."""
+    """Logistic regression on at most 2 * ``most`` labelled rows; those with crc32(id) mod 3 = 1 are left for tests.
+
+    Labels are read as ``toxicity.labelled`` says. With labels of one kind only, or none, the
+    model's evidence is their smoothed share for any text.
+    """
     small_batches(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([measures(x) for x in part.column(0).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = [r for k in (0, 2) for r in labelled(docs, labels, label, k, most, text, key).mapInArrow(batches, "y int, x array<double>").collect()]
+    learnt = labelled(docs, labels, label, (0, 2), most, text, key)
+    rows = learnt.select("body", "y").mapInArrow(batches, "y int, x array<double>").collect()  # of a bounded number of rows
+    drop(learnt)
     rows.sort()
     if len({r.y for r in rows}) < 2:
         share = (sum(r.y for r in rows) + 0.5) / (len(rows) + 1.0)
@@ -128,54 +135,70 @@ def strength(mean: str | Column) -> Column:
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """site, host_posterior, path_posterior, base from rows (host, path, logit): grouped sums and empirical Bayes.
+    """Sums and shrinkage of each site, from rows (host, path, logit), by grouped sums and empirical Bayes.
 
-    Rows are summed on the map side, so that a host with a third of all rows is
-    one partial sum in each task. No row leaves out a host or path, null ones included.
+    site, path_n, path_good, path_k, host_n, host_good, host_k, base, and the posterior
+    means host_posterior and path_posterior. Rows are summed on the map side, so that a
+    host with a third of all rows is one partial sum in each task. Null hosts and paths are
+    groups of their own; an empty table has no sites.
     """
     paths = staged(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(sigmoid(F.col("logit"))).alias("good")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = staged(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
     base = hosts.agg((F.sum("good") / F.sum("n")).alias("base")).first().base
-    if base is None:
-        return paths.select(site(F.col("host"), F.col("path")).alias("site"), *(F.lit(0.5).alias(c) for c in ("host_posterior", "path_posterior", "base")))
-    base = min(1 - 1e-6, max(1e-6, base))
-    k = hosts.agg(strength(F.lit(base)).alias("k")).first().k
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + k * base) / (F.col("n") + k)).alias("host_posterior"))
+    base = 0.5 if base is None else min(1 - 1e-6, max(1e-6, base))
+    k = hosts.agg(strength(F.lit(base)).alias("k")).first().k or 1.0
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"), F.lit(k).alias("host_k"))
+    hosts = hosts.withColumn("host_posterior", (F.col("host_good") + k * base) / (F.col("host_n") + k))
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    k = both.agg(strength("host_posterior").alias("k")).first().k
+    k = both.agg(strength("host_posterior").alias("k")).first().k or 1.0
     path = (F.col("good") + k * F.col("host_posterior")) / (F.col("n") + k)
-    return staged(both.select(site(F.col("host"), F.col("path")).alias("site"), "host_posterior", path.alias("path_posterior"), F.lit(base).alias("base")), "posteriors")
+    sums = [F.col("n").alias("path_n"), F.col("good").alias("path_good"), F.lit(k).alias("path_k"), "host_n", "host_good", "host_k", F.lit(base).alias("base")]
+    return staged(both.select(site(F.col("host"), F.col("path")).alias("site"), *sums, "host_posterior", path.alias("path_posterior")), "posteriors")
+
+
+def others() -> Column:
+    """The path's posterior without the row's own evidence, which is taken out of the sums of its path and its host."""
+    own = sigmoid(F.col("logit"))
+    host = (F.col("host_good") - own + F.col("host_k") * F.col("base")) / (F.col("host_n") - 1 + F.col("host_k"))
+    return (F.col("path_good") - own + F.col("path_k") * host) / (F.col("path_n") - 1 + F.col("path_k"))
 
 
 def combined() -> Column:
-    odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    return sigmoid(F.col("logit") + odds("path_posterior") - odds("base"))
+    odds = lambda c: F.log(c / (1 - c))
+    prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), others()))
+    return sigmoid(F.col("logit") + odds(prior) - odds(F.col("base")))
 
 
-def with_sites(scored: DataFrame, sites: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adds the posteriors to rows with a ``site``. Hot sites are joined on the map side, by a broadcast of a bounded number of rows."""
-    hot = staged(sites.join(F.broadcast(hot_keys(keys, "site")), "site", "left_semi").withColumn("_hot", F.lit(True)), "hot")
+def with_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    """Adds the sites' columns to staged rows with a ``site``. Hot sites are joined on the map side, by a broadcast of a bounded number of rows."""
+    hot = staged(sites.join(F.broadcast(hot_keys(scored, "site")), "site", "left_semi").withColumn("_hot", F.lit(True)), "hot")
     marked = scored.join(F.broadcast(hot), "site", "left")
     cold = marked.filter("_hot is null").select(*scored.columns).join(sites, "site")
     return marked.filter("_hot").select(*cold.columns).unionByName(cold)
 
 
+def judged(docs: DataFrame, model: Model, text: str, keep: list[Column], host: Column, path: Column) -> DataFrame:
+    """Columns ``keep`` of each row, logit and the columns of ``posteriors``. The classifier reads each text once."""
+    scored = staged(evidence(docs, model, text, [*keep, host.alias("host"), path.alias("path"), site(host, path).alias("site")]), "evidence")
+    return with_sites(scored.drop("host", "path"), posteriors(scored))
+
+
+@tidied
 def quality(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", host: str | Column = "source", path: str | Column = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, logit, host_posterior, path_posterior, score, kept. Null hosts and paths are groups of their own."""
+    """One row per document: doc_id, logit, host_posterior, path_posterior, score, kept.
+
+    Null text is empty, null hosts and paths are groups of their own, rows that repeat
+    an id are documents of their own. An empty table gives no rows.
+    """
     host, path = (F.col(c) if isinstance(c, str) else c for c in (host, path))
-    scored = staged(evidence(docs, model, text, [F.col(key).alias("doc_id"), host.alias("host"), path.alias("path")]), "evidence")
-    named = scored.withColumn("site", site(F.col("host"), F.col("path"))).drop("host", "path")
-    out = with_sites(named, posteriors(scored), named)
+    out = judged(docs, model, text, [F.col(key).alias("doc_id")], host, path)
     return out.select("doc_id", "logit", "host_posterior", "path_posterior", combined().alias("score"), (combined() >= threshold).alias("kept"))
 
 
+@tidied
 def good_rows(docs: DataFrame, model: Model, text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; nothing with text is shuffled unless its site is rare."""
-    parts = [F.col(host).alias("host"), F.col(path).alias("path")]
-    scored = staged(evidence(docs, model, text, parts), "evidence")
-    named = site(F.col(host), F.col(path)).alias("site")
-    rows = evidence(docs, model, text, [named, F.struct("*").alias("row")])
-    out = with_sites(rows, posteriors(scored), docs.select(named))
+    out = judged(docs, model, text, [F.struct("*").alias("row")], F.col(host), F.col(path))
     return out.filter(combined() >= threshold).select("row.*")
 
 

@@ -12,15 +12,16 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, small_batches, staged, text_of
+from .common import drop, small_batches, staged, text_of, tidied
 from .simhash import shingle_hashes
 
 #: Bounds of what is learnt from and kept: labelled rows for each of the two steps, tokens.
@@ -135,16 +136,22 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, remainder: int, most: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled rows (body, y) whose crc32 has ``remainder``, the first ones by a hash of the id."""
-    part = F.crc32(F.col(key).cast("string").cast("binary")) % 3 == remainder
-    chosen = labels.filter(part & F.col(label).isin(0, 1)).select(F.col(key).alias("_i"), F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("_i"), "_i", "y").limit(most)
-    return docs.select(F.col(key).alias("_i"), text_of(text).alias("body")).join(F.broadcast(chosen), "_i").select("body", "y")
+@tidied
+def labelled(docs: DataFrame, labels: DataFrame, label: str, remainders: Sequence[int], most: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Labelled rows (body, y, part) whose crc32 of the id, mod 3, is in ``remainders``; of each at most ``most`` ids, the first by a hash.
+
+    A repeated label counts once; ids without a label of 0 or 1, or with both, and null ids are left out.
+    One pass over ``docs``; the rows are staged. Ids that repeat in ``docs`` give a row each.
+    """
+    part = F.crc32(F.col(key).cast("string").cast("binary")) % 3
+    one = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_i")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z"), F.first(part).cast("int").alias("part"))
+    first = [one.filter((F.col("part") == r) & F.expr("y = z")).orderBy(F.xxhash64("_i"), "_i").limit(most) for r in remainders]
+    chosen = reduce(DataFrame.unionByName, first).select("_i", "y", "part")
+    return staged(docs.select(F.col(key).alias("_i"), text_of(text).alias("body")).join(F.broadcast(chosen), "_i").select("body", "y", "part"), "labelled")
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Rows (body, y) of which near copies are mostly left out: of those with equal least shingles one per label stays."""
+    """Rows (body, y, part) of which near copies are mostly left out: of those with equal least shingles one per label stays."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.array([[1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9]], np.uint64)
@@ -154,79 +161,100 @@ def without_copies(rows: DataFrame) -> DataFrame:
                 h = shingle_hashes(body, 5)
                 with np.errstate(over="ignore"):
                     least.append((h[:, None] * turns).min(axis=0).view(np.int64).tolist() if len(h) else [0, 0, 0])
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in least], pa.int64()) for i in range(3))], names=["body", "y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[i] for x in least], pa.int64()) for i in range(3))], names=["body", "y", "part", "a", "b", "c"])
 
-    marked = rows.mapInArrow(batches, "body string, y int, a long, b long, c long")
+    marked = rows.mapInArrow(batches, "body string, y int, part int, a long, b long, c long")
     for c in ("a", "b", "c"):
-        marked = marked.withColumn("i", F.row_number().over(Window.partitionBy("y", c).orderBy("a", "b", "c", "body"))).filter("i = 1")
-    return marked.select("body", "y")
+        marked = marked.withColumn("i", F.row_number().over(Window.partitionBy("y", c).orderBy("a", "b", "c", "part", "body"))).filter("i = 1")
+    return marked.select("body", "y", "part")
 
 
-def learn_weights(rows: DataFrame) -> dict[bytes, float]:
-    """Weights of tokens and beginnings from rows (body, y): log-odds of being in a document, by label.
+def token_counts(rows: DataFrame) -> DataFrame:
+    """w, a0, b0, a2, b2: documents of label 0 and 1 of each part (0 or 2) that hold a token or beginning; the empty token counts all.
 
-    Counts are of distinct documents, as a burst of one word says little. They are
-    summed in Spark; the MOST_TOKENS most certain ones are kept.
+    Counts are of distinct documents, as a burst of one word says little. They are summed in Spark.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            held: tuple[Counter, Counter] = (Counter(), Counter())
-            for body, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            held = {k: Counter() for k in ((0, 0), (1, 0), (0, 2), (1, 2))}
+            for body, y, p in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 own = set(tokens(body))
-                held[y].update(own.union(*map(stems, own)))
-                held[y][b""] += 1
-            words = list(held[0] | held[1])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([held[y][w] for w in words], pa.int64()) for y in (0, 1))], names=["w", "a", "b"])
+                held[y, p].update(own.union(*map(stems, own)))
+                held[y, p][b""] += 1
+            words = list(set().union(*held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in held.values())], names=["w", "a0", "b0", "a2", "b2"])
+
+    return rows.mapInArrow(batches, "w binary, a0 long, b0 long, a2 long, b2 long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("a0", "b0", "a2", "b2")))
+
+
+def log_odds(a: Column, b: Column, n_a: int, n_b: int) -> tuple[Column, Column]:
+    """Log-odds of being in a document of label 1 against label 0, and its z, with a Dirichlet prior of PRIOR times the counts of both."""
+    alpha = F.lit(PRIOR) * (a + b)
+    odds = lambda k, docs: F.log((k + alpha) / (F.lit((1 + PRIOR) * docs + PRIOR * (n_a + n_b - docs) + 1.0) - k - alpha))
+    d = odds(b, n_b) - odds(a, n_a)
+    return d, d / F.sqrt(1 / (a + alpha) + 1 / (b + alpha))
+
 
-    counts = staged(rows.mapInArrow(batches, "w binary, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
-    n = counts.filter(F.length("w") == 0).first()
+def learn_weights(counts: DataFrame, parts: Sequence[int]) -> dict[bytes, float]:
+    """Weights of tokens and beginnings from the counts of some parts; the MOST_TOKENS most certain ones are kept."""
+    t = counts.select("w", *(reduce(Column.__add__, (F.col(f"{c}{p}") for p in parts)).alias(c) for c in ("a", "b")))
+    n = t.filter(F.length("w") == 0).first()
     if n is None or not n.a or not n.b:
         return {}
-    alpha = F.lit(PRIOR) * (F.col("a") + F.col("b"))
-    odds = lambda k, docs: F.log((F.col(k) + alpha) / (F.lit((1 + PRIOR) * docs + PRIOR * (n.a + n.b - docs) + 1.0) - F.col(k) - alpha))
-    d = odds("b", n.b) - odds("a", n.a)
-    z = d / F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))
-    kept = counts.filter((F.col("a") + F.col("b") >= LEAST_COUNT) & (F.length("w") > 0)).select("w", d.alias("d"), z.alias("z"))
+    d, z = log_odds(F.col("a"), F.col("b"), n.a, n.b)
+    kept = t.filter((F.col("a") + F.col("b") >= LEAST_COUNT) & (F.length("w") > 0)).select("w", d.alias("d"), z.alias("z"))
     # A beginning weighs only where it speaks for the label: most words say nothing.
     kept = kept.filter((F.col("z") >= LEAST_Z) | (F.col("z") <= -LEAST_Z) & ~F.startswith("w", F.lit(b"^")))
-    out = {bytes(r.w): r.d - DRIFT for r in kept.orderBy(F.abs("z").desc(), "w").limit(MOST_TOKENS).collect()}
-    drop(counts)
-    return out
+    return {bytes(r.w): r.d - DRIFT for r in kept.orderBy(F.abs("z").desc(), "w").limit(MOST_TOKENS).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", most: int = MOST_LABELLED) -> Model:
-    """Weights from labelled rows with remainder 0, calibration from those with remainder 2, at most ``most`` of each."""
+    """Weights and calibration from the labelled rows with remainders 0 and 2, at most ``most`` of each.
+
+    Calibration is crossed: a row's evidence for it comes from weights of the other
+    remainder. The weights that score are those of both. Without labels of both kinds
+    there are no weights, or the score is the smoothed share of label 1 for any text.
+    """
     small_batches(docs.sparkSession)
-    model = Model(learn_weights(without_copies(labelled(docs, labels, label, 0, most, text, key))))
-    rows = labelled(docs, labels, label, 2, most, text, key)
+    rows = labelled(docs, labels, label, (0, 2), most, text, key)
+    counts = staged(token_counts(without_copies(rows)), "counts")
+    models = {p: Model(learn_weights(counts, [2 - p])) for p in (0, 2)}  # for the rows of part p
+    model = Model(learn_weights(counts, [0, 2]))
 
     def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [model.passages(x) for x in part.column(0).to_pylist()]
+            found = [models[p].passages(x) for x, p in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([max([0.0, *(s for _, _, s, _ in f)]) for _, f in found])], names=["y", "n", "s"])
 
-    seen = rows.mapInArrow(best, "y int, n long, s double").collect()  # at most ``most`` rows of three numbers
+    seen = rows.mapInArrow(best, "y int, n long, s double").collect()  # at most twice ``most`` rows of three numbers
     clean = np.array([(r.n, r.s) for r in seen if r.y == 0] or [(1, 0.0)], dtype=float)
-    # Moments of Gumbel's law: sd = pi / (rate sqrt 6), mean = (log(K n) + gamma) / rate.
-    model.rate = float(np.clip(math.pi / (math.sqrt(6) * max(clean[:, 1].std(), 1e-3)), 0.5, 5.0))
-    model.size = float(np.exp(np.mean(model.rate * clean[:, 1] - np.log(np.maximum(clean[:, 0], 1))) - np.euler_gamma))
+    rate, size = extreme_value_law(clean[:, 0], clean[:, 1])
+    for m in (model, *models.values()):
+        m.rate, m.size = rate, size
 
     def evidence(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            f = [model.features(x) for x in part.column(0).to_pylist()]
+            f = [models[p].features(x) for x, p in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([a for a, _ in f], pa.float64()), pa.array([b for _, b in f], pa.float64())], names=["y", "a", "b"])
 
-    seen = rows.mapInArrow(evidence, "y int, a double, b double").collect()
+    seen = sorted(rows.mapInArrow(evidence, "y int, a double, b double").collect())
     if len({r.y for r in seen}) == 2:
-        seen = sorted(seen)
         model.coefficients = [float(c) for c in logistic(np.array([(1.0, r.a, r.b) for r in seen]), np.array([r.y for r in seen], dtype=float))]
     else:
         share = (sum(r.y for r in seen) + 0.5) / (len(seen) + 1.0)
         model.coefficients = [math.log(share / (1 - share)), 0.0, 0.0]
+    drop(counts)
+    drop(rows)
     return model
 
 
+def extreme_value_law(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """Rate and size of Gumbel's law by moments: sd = pi / (rate sqrt 6), mean = (log(size n) + gamma) / rate."""
+    rate = float(np.clip(math.pi / (math.sqrt(6) * max(best.std(), 1e-3)), 0.5, 5.0))
+    return rate, float(np.exp(np.mean(rate * best - np.log(np.maximum(n, 1))) - np.euler_gamma))
+
+
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, passages (first and end token, score, expected by chance).
 
