@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, join_hot, staged, text_of, tidied
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -23,6 +23,11 @@ LINE_DOCS, LINE_SHARE = 20, 0.02
 LEAST_LEFT = 0.3
 
 
+def named(host: Column) -> Column:
+    """A host as a string that is never null, distinct for distinct hosts."""
+    return F.coalesce(F.concat(F.lit("+"), host.cast("string")), F.lit(""))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -61,11 +66,10 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", extra: list[Column] | None = None) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sha, lines (hash, words; distinct)."""
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sha, lines (hash of host and line, words)."""
     t = docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), text_of(text).alias("t"), *(extra or []))
     t = t.withColumn("w", words(F.col("t"))).withColumn("l", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)))
-    # Each line with how many words it has in all of its places, so that lines are joined once per document.
-    lines = F.transform("l", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    lines = F.transform("l", lambda x: F.struct(F.xxhash64(normal_line(x), named(F.col("host"))).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
     return t.select(
         "doc_id",
         "host",
@@ -80,6 +84,7 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
     )
 
 
+@tidied
 def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, n_left (words without boilerplate lines), kept.
 
@@ -87,14 +92,15 @@ def judged(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str =
     judged each on its own text; equal rows give equal rows. An empty table gives no rows.
     """
     rows = staged(measures(docs, text, key, host, [F.monotonically_increasing_id().alias("r")]), "measures")
-    flat = rows.select("r", "host", "sha", F.explode("lines").alias("x")).select("r", "host", "sha", "x.h", "x.n")
+    flat = staged(rows.select("r", "sha", named(F.col("host")).alias("site"), F.explode("lines").alias("x")).select("r", "sha", "site", "x.h", "x.n"), "flat")
     # Distinct documents of a line, then of a host; the first step combines hot lines on the map side.
-    held = flat.select("host", "h", "sha").distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-    hosts = rows.select("host", "sha").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    common = held.filter(F.col("docs") > line_docs).alias("a").join(hosts.alias("b"), F.expr("a.host <=> b.host")).filter(F.col("docs") > F.lit(line_share) * F.col("of"))
-    common = staged(common.select(F.col("a.host").alias("host"), "h"), "lines")
-    per_line = flat.groupBy("r", "host", "h").agg(F.sum("n").alias("n"))
-    gone = per_line.alias("f").join(common.alias("c"), F.expr("f.h = c.h and f.host <=> c.host")).groupBy("r").agg(F.sum("n").alias("gone"))
+    held = flat.select("site", "h", "sha").distinct().groupBy("h").agg(F.first("site").alias("site"), F.count("*").alias("docs"))
+    held = staged(held.filter(F.col("docs") > line_docs), "held")
+    hosts = rows.select(named(F.col("host")).alias("site"), "sha").distinct().groupBy("site").agg(F.count("*").alias("of"))
+    common = join_hot(held, hosts, "site").filter(F.col("docs") > F.lit(line_share) * F.col("of"))
+    common = staged(common.select("h", F.lit(True).alias("common")), "lines")
+    # A boilerplate line is in many documents: its rows are met on the map side, and summed there.
+    gone = join_hot(flat.select("r", "h", "n"), common, "h").filter("common").groupBy("r").agg(F.sum("n").alias("gone"))
     out = rows.join(gone, "r", "left").withColumn("n_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     depleted = (F.col("n_left") < LEAST_WORDS) | (F.col("n_left") < F.lit(least_left) * F.col("n_words"))
