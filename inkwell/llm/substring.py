@@ -7,12 +7,14 @@ length, until the window's own length is reached or no candidates survive.
 
 Below the window's length one part of it stands for all: the one of the smallest
 hash, which is the same in every copy of the window. So a level sends a fraction
-of all places, and no repeat is lost.
+of all places, and no repeat is lost. Equal hashes of a shorter length only name
+candidates; at the window's own length 96 bits from two independent hashes decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import COUNTERS, drop, hot_keys, small_batches, staged, text_of
+from .common import COUNTERS, drop, hot_keys, small_batches, staged, text_of, tidied
 
 WINDOW, FIRST = 35, 18
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -43,9 +45,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def window_hashes(words: list[bytes], lengths: list[int]) -> dict[int, np.ndarray]:
+def window_hashes(words: list[bytes], lengths: list[int], word_hash: Callable[[bytes], int] = xxhash.xxh3_64_intdigest) -> dict[int, np.ndarray]:
     """Per length, the hash of the window that starts at each word; a longer one is made of two shorter ones."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
     steps, out = [1], {1: h}
     for n in lengths:
         while steps[-1] < n:
@@ -64,17 +66,21 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
     return view.argmin(axis=1) + np.arange(len(view))
 
 
-def candidates(words: list[bytes], window: int, lengths: list[int], survived: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes that the next level sends, given the places that ``survived`` each level before."""
+def candidates(words: list[bytes], window: int, lengths: list[int], survived: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and checks (0 below the window's length) that the next level sends, given the places that ``survived`` each level before."""
     if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     hashes = window_hashes(words, lengths)
     alive = np.ones(len(words) - window + 1, bool)
     for n, places in zip(lengths, survived, strict=False):
         alive &= np.isin(anchors(hashes[n], window - n + 1), places)
     n = lengths[len(survived)]
-    at = np.unique(anchors(hashes[n], window - n + 1)[alive]) if n < window else np.flatnonzero(alive)
-    return at, hashes[n][at]
+    if n < window:
+        at = np.unique(anchors(hashes[n], window - n + 1)[alive])
+        return at, hashes[n][at], np.zeros(len(at), np.int32)
+    at = np.flatnonzero(alive)
+    check = window_hashes(words, [window], zlib.crc32)[window][at] if len(at) else np.zeros(0, np.uint64)
+    return at, hashes[n][at], check.astype(np.uint32).view(np.int32)
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -100,7 +106,7 @@ def squeezed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def repeated(places: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Rows (h, r, at) of ``places`` whose h occurs twice or more.
+    """Rows (r, at) of ``places`` (h, c, r, at) whose h and c occur together twice or more.
 
     Hashes with over 1/counters of all rows are found by Misra-Gries, counted and
     broadcast, at most ``counters`` of them, and their rows are spread; the others
@@ -108,13 +114,13 @@ def repeated(places: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     least = places.count() / counters
     maybe = [r.h for r in hot_keys(places, "h", counters).collect()]  # at most ``counters`` numbers
-    hot = places.filter(F.col("h").isin(maybe)).groupBy("h").agg(F.count("*").alias("hot"))
+    hot = places.filter(F.col("h").isin(maybe)).groupBy("h", "c").agg(F.count("*").alias("hot"))
     hot = staged(hot.filter((F.col("hot") > 1) & (F.col("hot") > F.lit(least))), "hot")
-    marked = places.join(F.broadcast(hot), "h", "left")
+    marked = places.join(F.broadcast(hot), ["h", "c"], "left")
     # The count of a hot hash is known, so its rows may be dealt out by their text.
-    apart = Window.partitionBy("h", F.when(F.col("hot").isNotNull(), F.col("r")))
-    counted = marked.select("h", "r", "at", F.coalesce("hot", F.count("*").over(apart)).alias("n"))
-    return counted.filter("n > 1").select("h", "r", "at")
+    apart = Window.partitionBy("h", "c", F.when(F.col("hot").isNotNull(), F.col("r")))
+    counted = marked.select("r", "at", F.coalesce("hot", F.count("*").over(apart)).alias("n"))
+    return counted.filter("n > 1").select("r", "at")
 
 
 def survivors(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
@@ -127,14 +133,14 @@ def survivors(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> Dat
         for part in parts:
             cols = [part.column(i).to_pylist() for i in range(2 + len(known))]
             for row in zip(*cols, strict=True):
-                at, h = candidates(press(row[1]).split(), window, lengths, [np.array(x, np.int64) for x in row[2:]])
+                at, h, c = candidates(press(row[1]).split(), window, lengths, [np.array(x, np.int64) for x in row[2:]])
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), row[0])), pa.array(at.astype(np.int32))], names=["h", "r", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(np.full(len(at), row[0])), pa.array(at.astype(np.int32))], names=["h", "c", "r", "at"])
 
     rows = texts.select("r", "body")
     found = None
     for i in range(len(lengths)):
-        places = staged(rows.mapInArrow(batches, "h long, r long, at int"), f"places{i}")
+        places = staged(rows.mapInArrow(batches, "h long, c int, r long, at int"), f"places{i}")
         kept = staged(repeated(places).groupBy("r").agg(F.collect_list("at").alias(f"p{i}")), f"kept{i}")
         drop(places)
         if i + 1 == len(lengths) or kept.isEmpty():
@@ -145,6 +151,7 @@ def survivors(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> Dat
     raise AssertionError
 
 
+@tidied
 def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
