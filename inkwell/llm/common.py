@@ -107,6 +107,9 @@ def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         kept = [path for path in made if path.rsplit("/", 1)[1] in read]
         for path in set(made).difference(kept):
             remove(path)
+        if len(kept) < len(made):
+            # Shuffle files go when the driver's JVM has collected the plans that made them.
+            out.sparkSession.sparkContext._jvm.System.gc()
         if _calls.open:
             _calls.open[-1].extend(kept)
         return out

@@ -7,7 +7,12 @@ so a star keeps the components of the full graph without its pairs.
 
 A radius that the balls allow finds texts of a Jaccard similarity near 1 only, and links
 some that share a template. Where a similarity is asked for, these links are checked
-on the texts, and min-wise sketches of the same shingles give more to be checked: texts that agree in a band meet, and are compared by their shingles.
+on the texts, and min-wise sketches of the same shingles give more to be checked.
+Texts that agree in a band meet: all are compared with the one among them that meets
+most others. Pairs that this does not put into one component are compared if their
+shared shingles may be enough. Such a pair has a rare shingle in common, and is found
+by it, or only shingles that are frequent among the texts left over, whose number in
+each text bounds what it can share. No pair that meets in a band is left out by that.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop, join_hot, small_batches, staged, text_of, tidied
@@ -31,6 +37,8 @@ SHINGLE, RADIUS, SEED, CHUNK = 3, 2, 42, 1 << 16
 BINS, BAND = 128, 6
 #: Texts whose sketches' estimate is further below the similarity asked for are not read: six standard errors at 0.8.
 ERROR = 0.21
+#: A shingle that so many of the texts left over hold, or fewer, is rare: pairs that share one are enumerated.
+RARE = 16
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -59,7 +67,6 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
     if not len(hashes):
         return b""
     orders = np.random.default_rng(SEED).integers(0, 1 << 63, bins, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    hashes = np.unique(hashes)
     with np.errstate(over="ignore"):
         least = np.minimum.reduce([(hashes[i : i + 4096, None] * orders).min(axis=0) for i in range(0, len(hashes), 4096)])
         return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2").tobytes()
@@ -78,18 +85,19 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
-    """doc_id, sha (of the text), fp (signed long) and sketch (empty if not asked for) of each document; null text has fp 0."""
+    """doc_id, sha (of the text), fp (signed long), sketch and n (distinct shingles; both empty if not asked for) of each document; null text has fp 0."""
     small_batches(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             hashes = [shingle_hashes(x, shingle) for x in part.column(2).to_pylist()]
             fps = pa.array([simhash(h) for h in hashes], pa.int64())
-            marks = pa.array([sketch(h) if sketches else b"" for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps, marks], names=["doc_id", "sha", "fp", "sketch"])
+            sets = [np.unique(h) if sketches else h[:0] for h in hashes]
+            marks, sizes = pa.array(map(sketch, sets), pa.binary()), pa.array(map(len, sets), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps, marks, sizes], names=["doc_id", "sha", "fp", "sketch", "n"])
 
     rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("sha"), text_of(text).alias("body"))
-    return rows.mapInArrow(batches, f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, fp long, sketch binary")
+    return rows.mapInArrow(batches, f"doc_id {dict(rows.dtypes)['doc_id']}, sha string, fp long, sketch binary, n int")
 
 
 def ball(radius: int) -> list[int]:
@@ -109,44 +117,99 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def banded(own: DataFrame) -> DataFrame:
-    """t, c and band of each band of the sketches of ``own`` (t, c, sketch); texts without words have none."""
+    """t and band of each band of the sketches of ``own`` (t, sketch); texts without words have none."""
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * i, 2 * BAND)) for i in range(0, BINS - BAND + 1, BAND)))
-    return own.filter(F.length("sketch") > 0).select("t", "c", F.explode(bands).alias("band"))
+    return own.filter(F.length("sketch") > 0).select("t", F.explode(bands).alias("band"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def first_pairs(flat: DataFrame) -> DataFrame:
-    """Pairs of texts (a, b): each with the first and the last that it meets in a band, in an order that is another one in each band.
+def shared_bands(flat: DataFrame) -> DataFrame:
+    """t, band and w of the bands that hold two texts or more; w is the sum of the sizes of the text's bands."""
+    sizes = staged(flat.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
+    met = staged(join_hot(flat, sizes, "band").filter("m is not null"), "met")
+    out = staged(met.join(met.groupBy("t").agg(F.sum("m").alias("w")), "t").select("t", "band", "w"), "shared")
+    for gone in (sizes, met):
+        drop(gone)
+    return out
 
-    They are found by grouped minima, so that a group of copies of any size is neither
+
+def central_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs of texts (a, b): each with the one in its band that meets most others.
+
+    It is found by a grouped maximum, so that a group of copies of any size is neither
     gathered nor squared; it becomes one component, whose pairs are not asked for again.
     """
-    turned = F.col("t").bitwiseXOR(F.col("band"))
-    ends = flat.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).filter("low <> high")
-    ends = ends.select("band", *(F.col(c).bitwiseXOR(F.col("band")).alias(c) for c in ("low", "high")))
-    return ordered(flat.join(ends, "band").select(F.col("t").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b"))
+    centre = shared.groupBy("band").agg(F.max(F.struct("w", "t")).alias("x")).select("band", F.col("x.t").alias("b"))
+    return ordered(join_hot(shared.select("band", F.col("t").alias("a")), centre, "band").filter("a <> b"))
+
+
+def may_fit(a: Column, b: Column, na: Column, nb: Column, similarity: float) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles that share at most ``a`` and ``b`` may be so similar."""
+    return (1 + similarity) * F.least(a, b) >= similarity * (na + nb) - 1e-6
+
+
+def in_several(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """t, its component c and band, of bands that hold several components, and the largest of these, top."""
+    held = staged(shared.select("t", "band").join(roots, "t", "left").select("t", F.coalesce("root", "t").alias("c"), "band"), "held")
+    parts = held.groupBy("band", "c").agg(F.count("*").alias("n"))
+    several = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("band", "top")
+    out = staged(join_hot(held, several, "band").filter("top is not null"), "several")
+    drop(held)
+    return out
+
 
+def shingle_rows(texts: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """t and h, distinct, of the shingles of ``texts`` (t), from ``docs`` (t, body)."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "h"])
+
+    bodies = docs.join(texts.select("t"), "t", "left_semi").dropDuplicates(["t"]).select("t", "body")
+    return bodies.mapInArrow(batches, "t long, h array<long>").select("t", F.explode("h").alias("h"))
 
-def other_pairs(flat: DataFrame) -> DataFrame:
-    """All pairs of texts (a, b) that meet in a band and are in different components ``c``.
 
-    One of such a pair is outside the band's largest component, so only those outside are joined with the band.
+def other_pairs(several: DataFrame, sizes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of texts in different components of a band that may be so similar: no such pair is missing.
+
+    ``several`` are the rows of ``in_several``, ``sizes`` has t and n. A shingle that one text
+    alone holds is shared with none. Pairs that share a rare shingle are found by it, at most RARE
+    texts at a time; other pairs share frequent shingles only, and are looked for in their bands.
     """
-    parts = flat.groupBy("band", "c").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("band", "top")
-    held = staged(flat.join(mixed, "band"), "mixed")
-    rest = held.filter("c <> top").select("band", F.col("t").alias("a"), F.col("c").alias("ca"))
-    met = rest.join(held.select("band", F.col("t").alias("b"), F.col("c").alias("cb"), "top"), "band")
-    return ordered(met.filter("ca <> cb and (cb = top or a < b)"))
+    texts = staged(several.select("t", "c").distinct().join(sizes, "t"), "texts")
+    rows = staged(shingle_rows(texts, docs, shingle), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    known = staged(join_hot(rows, often, "h").filter("df is not null"), "known")
+    bounds = known.groupBy("t").agg(F.count("*").alias("u"), F.count_if(F.col("df") > RARE).alias("k"))
+    own = staged(texts.join(bounds, "t").filter(may_fit(F.col("u"), F.col("u"), F.col("n"), F.lit(0), similarity)), "bounds")
+
+    def pairs(left: DataFrame, right: DataFrame, on: str, bound: str, more: str) -> DataFrame:
+        side = lambda df, x: df.select(on, *(F.col(c).alias(f"{c}{x}") for c in df.columns if c != on))
+        fits = may_fit(F.col(f"{bound}a"), F.col(f"{bound}b"), F.col("na"), F.col("nb"), similarity)
+        return side(left, "a").join(side(right, "b"), on).filter(F.expr(f"ca <> cb and ({more})") & fits).select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+
+    rare = staged(known.filter(F.col("df") <= RARE).select("t", "h").join(own.drop("k"), "t"), "rare")
+    by_rare = pairs(rare, rare, "h", "u", "ta > tb")
+    # One text of a pair is outside the band's largest component, so only those outside are joined with the band.
+    dense = own.drop("u").filter(may_fit(F.col("k"), F.col("k"), F.col("n"), F.lit(0), similarity))
+    banded_ = staged(several.drop("c").join(dense, "t"), "dense")
+    by_band = pairs(banded_.filter("c <> top").drop("top"), banded_, "band", "k", "cb = topb or ta > tb")
+    out = staged(ordered(by_rare.unionByName(by_band)), "pairs")
+    for gone in (texts, rows, known, own, rare, banded_):
+        drop(gone)
+    return out
 
 
 def alike(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of texts whose shingle sets have that Jaccard similarity.
 
     Sketches only spare the reading of texts that are far from it. ``docs`` has t and body.
+    Rows of one frequent partner are left to the skew handling of adaptive execution, as a
+    text has no bound that would allow a broadcast.
     """
     side = lambda c: own.select(F.col("t").alias(c), F.col("sketch").alias(f"s{c}"))
     schema = "a long, b long"
@@ -161,15 +224,22 @@ def alike(pairs: DataFrame, own: DataFrame, docs: DataFrame, similarity: float,
 
         return compare
 
-    shingles = lambda text: np.unique(shingle_hashes(text, shingle))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    def pressed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press(x.encode()) for x in part.column(1).to_pylist()], pa.binary())], names=["t", "body"])
+
+    shingles = lambda raw: np.unique(shingle_hashes(zstandard.ZstdDecompressor().decompress(raw).decode(), shingle))
+    both = join_hot(join_hot(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "sa", "sb")
     close = staged(both.mapInArrow(pairs_by(lambda p, q: 1.0 if p == q else likeness(p, q), similarity - ERROR), schema), "close")
     asked = close.select(F.col("a").alias("t")).unionByName(close.select(F.col("b").alias("t"))).distinct()
-    bodies = staged(docs.join(asked, "t", "left_semi").dropDuplicates(["t"]), "bodies")
+    bodies = docs.join(asked, "t", "left_semi").dropDuplicates(["t"]).select("t", "body")
+    bodies = staged(bodies.mapInArrow(pressed, "t long, body binary"), "bodies")
     of = lambda c: bodies.select(F.col("t").alias(c), F.col("body").alias(f"t{c}"))
     both = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
     good = staged(both.mapInArrow(pairs_by(jaccard, similarity, shingles), schema), "alike")
-    drop(bodies)
+    for gone in (close, bodies):
+        drop(gone)
     return good
 
 
@@ -177,18 +247,25 @@ def likely(rows: DataFrame, near: DataFrame, docs: DataFrame, similarity: float,
     """Links (a, b) between texts that are alike, of those that meet in a band or by their fingerprints.
 
     ``rows`` are those of ``fingerprints`` with node, the text's key, ``near`` the links of fingerprints, ``docs``
-    (t, body) the texts. All that meet in a band are compared, but for pairs that are in one component already.
+    (t, body) the texts. Pairs that are in one component already are not compared.
     """
-    own = staged(rows.groupBy(F.col("node").alias("t")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "texts")
+    own = staged(rows.groupBy(F.col("node").alias("t")).agg(*(F.first(c).alias(c) for c in ("fp", "sketch", "n"))), "texts")
     stands = staged(own.groupBy("fp").agg(F.min("t").alias("m")), "stands")
     same = join_hot(own.select("t", "fp"), stands, "fp").filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
     side = lambda c: stands.select(F.col("fp").alias(f"f{c}"), F.col("m").alias(c))
     across = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("a"), "fa").join(side("b"), "fb").select("a", "b")
-    met = first_pairs(banded(own.withColumn("c", F.col("t"))))
-    first = alike(ordered(met.unionByName(same).unionByName(across)), own, docs, similarity, shingle)
+    flat = staged(banded(own), "bands")
+    shared = shared_bands(flat)
+    drop(flat)
+    met = staged(ordered(central_pairs(shared).unionByName(same).unionByName(across)), "met")
+    first = alike(met, own, docs, similarity, shingle)
     roots = components(first).select(F.col("node").alias("t"), "root")
-    flat = staged(banded(own.join(roots, "t", "left").withColumn("c", F.coalesce("root", "t"))), "bands")
-    return first.unionByName(alike(other_pairs(flat), own, docs, similarity, shingle))
+    several = in_several(shared, roots)
+    left = other_pairs(several, own.select("t", "n"), docs, similarity, shingle)
+    out = first.unionByName(alike(left, own, docs, similarity, shingle))
+    for gone in (own, stands, shared, met, several, left):
+        drop(gone)
+    return out
 
 
 @tidied
@@ -212,7 +289,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", radius
     named = staged(join_hot(whole.select("node", "root"), least, "root").select("node", "component_id", "root"), "named")
     drop(whole)
     drop(own)
-    return join_hot(rows.drop("sketch"), named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
+    return join_hot(rows.drop("sketch", "n"), named, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "sha", "root")
 
 
 @tidied

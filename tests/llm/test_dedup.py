@@ -169,19 +169,27 @@ def test_anchor_is_the_same_in_every_copy():
     assert (a[200:243] - 200 == a[20:63] - 20).all()
 
 
-def test_all_that_meet_in_a_band_are_compared_but_for_pairs_of_one_component(spark):
+def test_other_pairs_lose_none_that_is_similar(spark):
+    """Of texts of one band, all pairs in different components that are similar are proposed, whatever shares their shingles."""
     r = random.Random(8)
-    rows = [(t, r.choice([1, 1, 1, t]), band) for t in range(60) for band in r.sample(range(12), 3)]
-    flat = spark.createDataFrame(rows, "t long, c long, band long")
-    of = {}
-    for t, c, _ in rows:
-        of.setdefault(t, c)
-    flat = spark.createDataFrame([(t, of[t], band) for t, _, band in rows], "t long, c long, band long")
-    bands = defaultdict(set)
-    for t, _, band in rows:
-        bands[band].add(t)
-    want = {(a, b) for m in bands.values() for a in m for b in m if a > b and of[a] != of[b]}
-    assert {(x.a, x.b) for x in simhash.other_pairs(flat).collect()} == want
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        w = list(base[: r.choice([60, 100, 118, 120])])
+        for _ in range(r.choice([0, 1, 2, 3, 6])):
+            w[r.randrange(len(w))] = r.choice([f"own{i}", f"pool{r.randrange(4)}"])
+        texts.append(" ".join(w))
+    texts = sorted(set(texts))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    comp = [r.choice([0, 0, i]) for i in range(len(texts))]
+    band = [i % 3 for i in range(len(texts))]
+    several = spark.createDataFrame([(i, comp[i], band[i], 0) for i in range(len(texts))], "t long, c long, band long, top long")
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "t long, n int")
+    docs = spark.createDataFrame(list(enumerate(texts)), "t long, body string")
+    got = {(x.a, x.b) for x in simhash.other_pairs(several, sizes, docs, 0.8, 5).collect()}
+    every = {(i, j) for i in range(len(texts)) for j in range(i) if comp[i] != comp[j]}
+    want = {(i, j) for i, j in every if band[i] == band[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want and want <= got <= every and len(got) < len(every) // 2
 
 
 def templated(seed, template, own, n=300, copies=40):
