@@ -12,7 +12,6 @@ follow. What is left at the end is cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,16 +37,16 @@ FIRST = 128
 REMEMBERED = 500_000
 #: Bytes of text encoded at a time.
 TOGETHER = 4 << 20
-MARKS = string.punctuation.encode()
 
 
 class Encoder:
     """Ids of texts by the library ``tokenizers``, remembered by word.
 
     White space ends a word for this tokenizer, so a text's ids are those of its
-    words in turn. So does a letter before ASCII punctuation, and it lowers case: a new
-    word is its core in lower case and the punctuation after it. New cores are
-    encoded together and cut apart by the places of their tokens.
+    words in turn. So does an ASCII letter before ASCII punctuation at a word's end, and
+    it lowers case: a text is first set in lower case, with a space before such marks.
+    New words are encoded together and cut apart by the places of their tokens. Texts
+    that may hold a special token are encoded as they stand.
     """
 
     def __init__(self, vocabulary: str):
@@ -71,35 +70,9 @@ class Encoder:
             self.young[w] = raw
         return raw
 
-    @staticmethod
-    def parts(w: bytes) -> tuple[bytes, bytes] | None:
-        """Lower-case core and the marks after it; None for a word that is not taken apart."""
-        core = w.rstrip(MARKS)
-        if not core or b"<|" in w:  # marks alone, or maybe a special token
-            return None
-        if not core[-1:].isalnum():
-            # A last letter whose lower case ends in a combining mark would draw the marks to it.
-            low = core.decode()[-1].lower()
-            if len(low) > 1 or not low.isalpha():
-                return None
-        return core.lower(), w[len(core) :]
-
-    def learn(self, new: list[bytes]) -> None:
-        todo, split = set(), []
-        for w in new:
-            if w.isalpha() and w.islower() or (both := self.parts(w)) is None:  # of ASCII: a core as it stands
-                todo.add(w)
-                continue
-            todo.update(x for x in both if self.known(x) is None)
-            if both != (w, b""):
-                split.append((w, *both))
-        self.encode_words(todo)
-        for w, low, marks in split:
-            self.young[w] = self.young[low] + self.young[marks]
-
-    def encode_words(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
-        plain = [x for x in texts if "<|" not in x and len(x) < 1000 and is_normalized("NFC", x)]
+        plain = [x for x in texts if len(x) < 1000 and (x.isascii() or is_normalized("NFC", x))]
         for i in range(0, len(plain), 1000):
             part = plain[i : i + 1000]
             whole = self.t.encode(" ".join(part), add_special_tokens=False)
@@ -111,8 +84,10 @@ class Encoder:
 
     def encode_batch(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """Ids as little-endian bytes, with the id ``end`` after each text. A word is looked up once a batch."""
+        special = pc.match_substring(texts, "<|")
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-/:-@\[-`{-~]+)([\x20\x09-\x0D]|\z)", r"\1 \2\3")
         # ASCII white space only: less than the tokenizer's own, which is safe.
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", apart))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         raws = list(map(self.young.get, words))
@@ -133,7 +108,12 @@ class Encoder:
             ids = np.insert(ids, ends[1:], end)
             ends = ends + np.arange(len(ends))
         at = pa.array((ends * self.kind.itemsize).astype(np.int32))
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, at.buffers()[1], pa.py_buffer(ids.tobytes())])
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, at.buffers()[1], pa.py_buffer(ids.tobytes())])
+        if pc.any(special).as_py():
+            last = b"" if end is None else np.array([end], dtype=self.kind).tobytes()
+            whole = [self.alone(x) + last if odd else b"" for x, odd in zip(texts.to_pylist(), special.to_pylist(), strict=True)]
+            out = pc.if_else(special, pa.array(whole, pa.binary()), out)
+        return out
 
 
 def together(parts: Iterator[pa.RecordBatch], least: int = TOGETHER) -> Iterator[pa.RecordBatch]:
