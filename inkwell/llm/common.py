@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Misra-Gries counters kept for each column whose hot keys are looked for. A key
 #: with more than 1/COUNTERS of all rows is always found; at most COUNTERS are.
 COUNTERS = 4096
+#: A table of narrow rows with so many, or fewer, is small: it may be broadcast whole.
+SMALL = 50_000
 #: Documents in one Arrow batch; a batch of very long texts stays within a worker's memory.
 BATCH_ROWS = 256
 
@@ -132,12 +134,17 @@ def hot_keys(df: DataFrame, key: str, counters: int = COUNTERS) -> DataFrame:
     return found.select(F.explode("k_freqItems").alias(key)).filter(F.col(key).isNotNull())
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, counters: int = COUNTERS, hot: DataFrame | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, counters: int = COUNTERS, hot: DataFrame | None = None, small: int = SMALL) -> DataFrame:
     """Left join on ``key``; ``right`` has each key once. Rows of hot keys of ``left`` are not shuffled.
 
-    What is broadcast are the rows of ``right`` for at most ``counters`` keys; ``right``
-    has narrow rows. ``hot`` are the hot keys where they are known already.
+    What is broadcast is ``right``, if it is counted to have ``small`` rows at most, or else
+    its rows for at most ``counters`` keys; it has narrow rows. ``hot`` are the hot keys
+    where they are known already.
     """
+    if not hasattr(right, "_inkwell_path"):
+        right = staged(right, "side")
+    if right.count() <= small:
+        return left.join(F.broadcast(right), key, "left")
     keys = hot_keys(left, key, counters) if hot is None else hot
     found = staged(right.join(F.broadcast(keys), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
     marked = left.join(F.broadcast(found), key, "left")
@@ -145,32 +152,34 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, counters: int = COUNTE
     return marked.filter("_hot").select(*cold.columns).unionByName(cold)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, small: int = SMALL) -> DataFrame:
     """Connected components as (node, root), root being the smallest node; nodes are those in ``edges``.
 
     Alternates the large-star and small-star steps of Kiveris et al. 2014; each
     step is a grouped minimum (combined on the map side) and a join, staged so
     that no plan grows with the number of rounds. Hubs, such as the root of a giant
-    component, are joined on the map side. Raises if not converged.
+    component, are joined on the map side, as all nodes are where edges are counted to be
+    ``small``. Raises if not converged.
     """
-    spark = edges.sparkSession
     now = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    mark = _mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = mark[0] <= small
         # No node has more rows in the second step than in the first, whose rows are at most twice as many.
-        hubs = staged(hot_keys(both, "u", 2 * COUNTERS), "hubs")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = join_hot(both, least, "u", hot=hubs).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = join_hot(large, least, "u", hot=hubs)
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(pairs.select("u", F.col("m").alias("v"))).distinct()
-        after = staged(small, "edges")
-        (n, s), (n2, s2) = (_mark(x) for x in (now, after))
+        hubs = None if few else staged(hot_keys(both, "u", 2 * COUNTERS), "hubs")
+        met = lambda left, least: left.join(F.broadcast(least), "u") if few else join_hot(left, least, "u", hot=hubs)  # noqa: B023, E731
+        large = met(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if few else staged(large, "large")
+        pairs = met(large, large.groupBy("u").agg(F.min("v").alias("m")))
+        small_star = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(pairs.select("u", F.col("m").alias("v"))).distinct()
+        after = staged(small_star, "edges")
+        before, mark = mark, _mark(after)
         for gone in (now, large, hubs):
             drop(gone)
         now = after
-        if (n, s) == (n2, s2):
+        if mark == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     raise RuntimeError(f"components have not converged after {most_rounds} rounds")
