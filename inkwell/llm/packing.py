@@ -34,9 +34,9 @@ K1, B, TERMS = 1.2, 0.75, 12
 #: Neighbours that are sorted first; the others only if these do not fill the window.
 FIRST = 128
 #: Words whose ids a worker remembers: so many new ones, and as many from before them.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Bytes of text encoded at a time.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 
 
 class Encoder:
