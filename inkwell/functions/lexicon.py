@@ -34,3 +34,38 @@ STYLES = (
 )
 #: Given names that clerks cut short.
 SHORT_NAMES = "nich nicho ed edw dan tho io jo wm geo ro rob rich sam hen fra chr nath will willm".split()
+
+#: Labels of spans that are roles, bodies or no entities.
+ROLE_LABELS = {
+    "counsel": "ORG_OR_COMMITTEE",
+    "counsell": "ORG_OR_COMMITTEE",
+    "councell": "ORG_OR_COMMITTEE",
+    "councel": "ORG_OR_COMMITTEE",
+    "deputy": "TITLE_OR_ROLE",
+    "deputie": "TITLE_OR_ROLE",
+    "nos": "EDITORIAL_REFERENCE",
+    "nos.": "EDITORIAL_REFERENCE",
+    "treasurer": "TITLE_OR_ROLE",
+    "majesty": "TITLE_OR_ROLE",
+    "ibid": "NOT_ENTITY",
+    "statutes": "NOT_ENTITY",
+    "ma": "TITLE_OR_ROLE",
+    "generall": "TITLE_OR_ROLE",
+    "kinge": "TITLE_OR_ROLE",
+    "nauie": "NOT_ENTITY",
+    "labo": "NOT_ENTITY",
+}
+#: Aliases of one word that stand for a person alone.
+SINGLE_NAMES = ["pocahontas", "matoaka", "amonute"]
+#: Reasons of exclusion that say that a form is no person at all.
+NO_PERSON_REASON = (
+    r"(?i)^(?:place|ship|office|archive|modern|document|institution|heading|feast|phrase|legal|"
+    r"meeting|bod|law|object|latin|royal|placeholder|'your|'his|'excellent|fragment|title only|"
+    r"truncated|compound|descriptive|theological|'every|'main|directional|osnaburg|ocr of)"
+)
+NO_ENTITIES = [
+    "Counsell", "Councell", "Counsel", "Councel", "Deputy", "Deputie", "Treasurer", "Treasuror",
+    "Majesty", "Maiestie", "Ibid", "Statutes", "Cape Merchant", "Cape Marchant", "Cape Mercht",
+]
+#: Three of these make a margin note a piece of an attendance list.
+LIST_ENTRY = r"(?:^|[.\s])(?:m\W{0,2}|mr\.?|s\W|sir|capt\W*|lo\W|dr\W*|d\W)\s*[A-Z][\w’'*:]+"

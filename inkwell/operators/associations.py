@@ -99,9 +99,24 @@ def pair_links(found: DataFrame, people: DataFrame, targets: DataFrame, date: st
     return out.select(*pairs.columns, F.when((F.col("meetings") > 0) & F.col("pf").isNotNull(), F.round(lift, 2)).alias("lift"))
 
 
-def by_year(found: DataFrame, date: str = "date") -> DataFrame:
-    """Roll-up of ``evidence`` per (year, person, target); rows without a date are left out."""
+def with_relations(links: DataFrame, found: DataFrame, relations: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds relations to a roll-up of ``evidence`` over ``keys``: the summary of those found in the pair's units, empty for none.
+
+    ``relations`` has unit, person, target and relation, one row each, and optionally ord; ``found`` carries the keys.
+    """
+    order = "ord" if "ord" in relations.columns else None
+    rows = found.select("unit", *{*keys, "person", "target"}).join(relations, ["unit", "person", "target"])
+    text = summarize(rows, keys, "relation", order)
+    return links.join(text, keys, "left").withColumn("relations", F.coalesce("relations", F.lit("")))
+
+
+def by_year(found: DataFrame, date: str = "date", confidence: str | None = None) -> DataFrame:
+    """Roll-up of ``evidence`` per (year, person, target); rows without a date are left out.
+
+    With ``confidence`` the best one of a group's dates is added.
+    """
     m = F.col("mentioned")
+    best = [] if confidence is None else [best_confidence(F.col(confidence)).alias("date_confidence")]
     return found.filter(F.col(date).isNotNull()).groupBy(F.year(date).alias("year"), "person", "target").agg(
         F.count_if(m).alias("meetings"),
         F.count_if(F.col("proximity") == "close").alias("close_meetings"),
@@ -109,6 +124,7 @@ def by_year(found: DataFrame, date: str = "date") -> DataFrame:
         F.min("min_distance").alias("min_distance"),
         F.min(date).alias("first_date"),
         F.max(date).alias("last_date"),
+        *best,
     )
 
 

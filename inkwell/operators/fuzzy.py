@@ -30,6 +30,24 @@ def near(a: str, b: str, least: float) -> Column:
     return F.levenshtein(a, b) <= F.floor(F.lit(1 - least + 1e-9) * (F.length(a) + F.length(b)))
 
 
+def letter_pairs(word: Column) -> Column:
+    """Distinct pairs of neighbouring letters; the word itself if it has one letter.
+
+    Two words of a ratio of 0.8 or more, of three letters and more, have a pair in common:
+    with T letters in all, at least 0.4 T match in at most 0.2 T + 1 runs.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1)), lambda i: F.substr(word, i, F.lit(2)))
+    return F.array_distinct(runs)
+
+
+def blocked(w: DataFrame, e: DataFrame, on: list[str], word: str, form: str, least: float) -> DataFrame:
+    """Rows of both with equal ``on`` that may be so close: those that share a pair of letters, if ``least`` ensures one."""
+    if least < 0.8:
+        return w.join(e, on)
+    a, b = w.withColumn("_pair", F.explode(letter_pairs(F.col(word)))), e.withColumn("_pair", F.explode(letter_pairs(F.col(form))))
+    return a.join(b, [*on, "_pair"]).drop("_pair").distinct()
+
+
 def best_match(words: DataFrame, entries: DataFrame, least: float, slack: int, word: str = "word", form: str = "form") -> DataFrame:
     """Per distinct word the entry form with the highest ratio, of a length within ``slack``; the smallest form wins ties.
 
@@ -39,7 +57,7 @@ def best_match(words: DataFrame, entries: DataFrame, least: float, slack: int, w
     w = words.select(F.col(word).alias("word")).distinct().withColumn("n", F.length("word"))
     e = entries.select(F.col(form).alias("form")).distinct()
     e = e.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.length("form") - slack), F.length("form") + slack)))
-    pairs = w.join(e, "n").filter(near("word", "form", least)).withColumn("score", ratio("word", "form")).filter(F.col("score") >= least)
+    pairs = blocked(w, e, ["n"], "word", "form", least).filter(near("word", "form", least)).withColumn("score", ratio("word", "form")).filter(F.col("score") >= least)
     i = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "form"))
     return pairs.withColumn("i", i).filter("i = 1").select("word", "form", "score")
 
@@ -65,7 +83,7 @@ def lookup(words: DataFrame, lexicon: DataFrame, least: float = 0.82, shortest:
     f = block(e.filter(~F.col("exact_only") & (F.length("key") >= shortest)).select("entity", F.col("key")).distinct()).withColumnRenamed("key", "seed_key")
     lengths = F.sequence(F.ceil(F.col("n") * 0.8).cast("int"), F.floor(F.col("n") * 1.25).cast("int"))
     f = f.withColumn("n", F.explode(lengths))
-    pairs = r.join(f, ["c", "n"]).filter(near("key", "seed_key", least)).withColumn("score", ratio("key", "seed_key")).filter(F.col("score") >= least)
+    pairs = blocked(r, f, ["c", "n"], "key", "seed_key", least).filter(near("key", "seed_key", least)).withColumn("score", ratio("key", "seed_key")).filter(F.col("score") >= least)
     best = Window.partitionBy("word").orderBy(F.desc("score"), "entity", "seed_key")
     close = pairs.withColumn("i", F.row_number().over(best)).filter("i = 1").select("word", "entity", F.lit("fuzzy").alias("match_type"), "score")
     return equal.unionByName(close)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -230,8 +229,3 @@ def glued(pages: DataFrame, note: str, text: str) -> DataFrame:
     first = F.regexp_extract(F.trim(F.col(note)), r"^(\S+\s+\S+)", 1)
     extra = lambda x: F.size(F.split(F.trim(x), r"\s+")) > F.size(F.split(F.trim(F.col(note)), r"\s+")) + 3
     return pages.withColumn("glued", (first != "") & F.exists(F.split(F.col(text), "\n", -1), lambda x: F.contains(x, first) & extra(x)))
-
-
-def smallest(values: Sequence[float], n: int) -> list[float]:
-    """The n smallest values, in order."""
-    return heapq.nsmallest(n, values)

@@ -100,14 +100,16 @@ def name_groups(rows: DataFrame, key: str, form: str) -> DataFrame:
     return with_ids(groups, "key", "group_id")
 
 
-def with_ids(rows: DataFrame, order: str, name: str, first: int = 1) -> DataFrame:
+def with_ids(rows: DataFrame, order: str, name: str, first: int = 1, bins: int = 256) -> DataFrame:
     """Numbers rows 1.. in the order of a unique column without one task for all.
 
-    Rows are counted by the first characters of the column; a rank within such a
-    bin plus the rows in the bins before is the number.
+    Bounds between ``bins`` ranges come from a sample of eight values a range, chosen by
+    hash. A rank within a range plus the rows in the ranges before is the number, whatever the bounds are.
     """
-    bin_ = F.substring(F.coalesce(F.col(order).cast("string"), F.lit("")), 1, 3)
-    binned = rows.withColumn("_bin", bin_)
+    chosen = [r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(8 * bins).collect()]
+    bounds = sorted(chosen)[8::8]
+    bin_ = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    binned = rows.withColumn("_bin", F.when(F.col(order).isNull(), -1).otherwise(bin_))
     sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_bin").orderBy(order))

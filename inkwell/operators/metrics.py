@@ -82,22 +82,33 @@ def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return rows.withColumn("_i", i).filter(F.col("_i") <= n).drop("_i")
 
 
-def network(rows: DataFrame, node: str, unit: str, most_nodes: int = 70, least_shared: int = 4, per_node: int = 4) -> DataFrame:
+def network(rows: DataFrame, node: str, unit: str, most_nodes: int = 70, least_shared: int = 4, per_node: int = 4, relations: DataFrame | None = None) -> DataFrame:
     """Edges (a, b, shared, jaccard) between the nodes in most units; the ``per_node`` best of each node.
 
     ``rows`` holds (node, unit). Only the ``most_nodes`` top nodes meet in the
-    self-join, so a unit gives at most that many squared pairs.
+    self-join, so a unit gives at most that many squared pairs. With ``relations``
+    (subject, object, relation; one row each) edges have their number, relations, and
+    pairs that have any are edges whatever they share; weight adds 0.05 for each.
     """
+    from inkwell.operators.graph import weight
+
     seen = rows.select(F.col(node).alias("node"), F.col(unit).alias("unit")).distinct()
     sizes = seen.groupBy("node").agg(F.count("*").alias("units")).orderBy(F.desc("units"), "node").limit(most_nodes)
-    kept = seen.join(F.broadcast(sizes), "node")
+    kept = seen.join(F.broadcast(sizes), "node")  # at most ``most_nodes`` rows
     a = kept.select("unit", F.col("node").alias("a"), F.col("units").alias("na"))
     b = kept.select("unit", F.col("node").alias("b"), F.col("units").alias("nb"))
     pairs = a.join(b, "unit").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = pairs.filter(F.col("shared") >= least_shared).select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+    if relations is not None:
+        ends = relations.filter("subject <> object").select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b"))
+        known = lambda c: F.broadcast(sizes.select(F.col("node").alias(c)))
+        counts = ends.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").groupBy("a", "b").agg(F.count("*").alias("relations"))
+        pairs = pairs.join(counts, ["a", "b"], "full").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), F.coalesce("relations", F.lit(0)).alias("relations"))
     ends = pairs.select("*", F.explode(F.array("a", "b")).alias("end"))
-    best = top_per_group(ends, ["end"], [F.desc("jaccard"), F.asc("a"), F.asc("b")], per_node)
-    return best.select("a", "b", "shared", "jaccard").distinct()
+    best = top_per_group(ends, ["end"], [F.desc("jaccard"), F.asc("a"), F.asc("b")], per_node).drop("end")
+    if relations is None:
+        return best.distinct()
+    return best.unionByName(pairs.filter("relations > 0")).distinct().withColumn("weight", weight(F.col("jaccard"), F.col("relations")))
 
 
 def frames(points: DataFrame, boxes: DataFrame) -> DataFrame:

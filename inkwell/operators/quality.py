@@ -56,3 +56,10 @@ def binary_scores(rows: DataFrame, gold: Column, predicted: Column, keys: Sequen
     t = rows.groupBy(*keys).agg(F.count_if(gold & predicted).alias("tp"), F.count_if(~gold & predicted).alias("fp"), F.count_if(gold & ~predicted).alias("fn"), F.count_if(~gold & ~predicted).alias("tn"))
     share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b)))
     return t.withColumn("precision", share("tp", "fp")).withColumn("recall", share("tp", "fn"))
+
+
+def flag_counts(roles: DataFrame, spans: DataFrame) -> DataFrame:
+    """kind, n: pages of each role, and editorial spans of each kind on record pages."""
+    record = roles.filter("role = 'record'").select("page_id")
+    pages = roles.groupBy(F.concat(F.lit("page: "), F.col("role")).alias("kind")).agg(F.count("*").alias("n"))
+    return pages.unionByName(spans.join(record, "page_id", "left_semi").groupBy(F.concat(F.lit("span: "), F.col("kind")).alias("kind")).agg(F.count("*").alias("n")))

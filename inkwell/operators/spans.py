@@ -1,8 +1,8 @@
 """Spans: offsets of matches, dictionary matching by n-gram joins, packing without overlaps.
 
-Offsets are code points, ends are exclusive. The dictionary matcher turns texts
-into n-grams of tokens and joins them to the alias table, so its cost grows with
-the text and not with the number of aliases.
+Offsets are code points, ends are exclusive. The dictionary matcher gives each token
+the words after it and joins it to the aliases that begin with it, so its cost grows
+with the text and not with the number of aliases.
 """
 
 from __future__ import annotations
@@ -16,9 +16,7 @@ from pyspark.sql import types as T
 
 from inkwell.functions.text import folded
 
-TOKEN = r"[\p{L}\p{N}]+"
-#: Characters between two words of one name.
-MOST_GAP = 6
+TOKEN, BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 
 def matches(rows: DataFrame, text: str, pattern: str, keys: Sequence[str]) -> DataFrame:
@@ -48,32 +46,60 @@ def alias_keys(aliases: DataFrame, form: str = "form") -> DataFrame:
     return aliases.withColumn("key", squeezed(F.col(form))).withColumn("n", n).filter("n > 0")
 
 
-def ngrams(rows: DataFrame, text: str, keys: Sequence[str], longest: int) -> DataFrame:
-    """keys, key, n, start, end of all runs of 1..longest tokens with at most MOST_GAP other characters between two."""
-    t = matches(rows, text, TOKEN, keys)
-    # A token with the gap after it, so that the key has the marks between words as they stand.
-    after = matches(rows, text, TOKEN + rf"(?:[^\p{{L}}\p{{N}}]{{1,{MOST_GAP}}}(?=[\p{{L}}\p{{N}}]))?", keys).select(*keys, "i", F.col("span").alias("_whole"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    t = t.join(after, [*keys, "i"]).withColumn("_joined", F.length("_whole") > F.length("span"))
-    t = t.withColumn("_island", F.sum(F.when(F.lag("_joined").over(w), 0).otherwise(1)).over(w))
-    out = None
-    for n in range(1, longest + 1):
-        ahead = Window.partitionBy(*keys, "_island").orderBy("i")
-        head = F.array_join(F.collect_list("_whole").over(ahead.rowsBetween(0, n - 2)), "") if n > 1 else F.lit("")
-        part = t.withColumn("_head", head).withColumn("_last", F.lead("span", n - 1).over(ahead)).withColumn("_end", F.lead("end", n - 1).over(ahead)).filter("_end is not null")
-        part = part.select(*keys, squeezed(F.concat("_head", "_last")).alias("key"), F.lit(n).alias("n"), "start", F.col("_end").alias("end"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def dictionary_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int) -> DataFrame:
+def longest_form(aliases: DataFrame) -> int:
+    """Words in the longest alias, one number."""
+    return aliases.agg(F.max("n")).first()[0] or 1
+
+
+def token_tails(rows: DataFrame, text: str, keys: Sequence[str], words: int) -> DataFrame:
+    """keys, i, span, _g (length of the gap before) and tail of each token: the text from it over ``words`` tokens.
+
+    One pass over each text, and one row per token.
+    """
+    m = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    t = rows.select(*keys, m.alias("_m"), F.split(text, TOKEN, -1).alias("_s")).filter(F.size("_m") > 0)
+    # Each token with the gap after it; the last gap is the end of the text.
+    t = t.withColumn("_p", F.zip_with("_m", F.slice("_s", F.lit(2), F.size("_m")), lambda x, g: F.concat(x, g)))
+    tail = lambda i: F.array_join(F.slice("_p", i + 1, F.lit(words)), "")
+    items = F.transform("_m", lambda x, i: F.struct(x.alias("span"), F.length(F.get(F.col("_s"), i)).alias("g"), tail(i).alias("tail")))
+    flat = t.select(*keys, F.posexplode(items).alias("i", "x"))
+    return flat.select(*keys, "i", "x.span", F.col("x.g").alias("_g"), F.col("x.tail").alias("tail"))
+
+
+def alias_starts(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Tokens joined to the aliases that stand there: white space of any length between words, no letter or digit next to it."""
+    first = F.regexp_extract("key", f"^{TOKEN}", 0)
+    a = aliases.withColumn("_first", first)
+    t = tokens.join(a, F.expr("_first") == folded(F.col("span")))
+    here = F.regexp_replace(folded(F.col("tail")), r"\s+", " ")
+    ends = ~F.substr(here, F.length("key") + 1, F.lit(1)).rlike(TOKEN)
+    return t.filter(F.startswith(here, F.col("key")) & ends).drop("_first")
+
+
+def one_entity(aliases: DataFrame) -> DataFrame:
+    """label, key, n, entity, priority: of equal forms of a label the smallest (priority, entity) names the span."""
+    return alias_keys(aliases).groupBy("label", "key", "n").agg(F.min_by("entity", F.struct("priority", "entity")).alias("entity"), F.min("priority").alias("priority"))
+
+
+def dictionary_hits(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame) -> DataFrame:
+    """keys, i (token), label, entity, priority of all places of aliases; nothing of the text is shuffled or sorted."""
+    a = one_entity(aliases)
+    return alias_starts(token_tails(rows, text, keys, longest_form(a)), a).select(*keys, "i", "label", "entity", "priority")
+
+
+def dictionary_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int | None = None) -> DataFrame:
     """All places of aliases (label, entity, form, priority): keys, start, end, label, entity, priority.
 
-    Of equal forms the smallest (priority, entity) names the span. Aliases of more
-    than ``longest`` words do not match.
+    With ``longest``, which spares a look at the table, aliases of more words are left out.
     """
-    a = alias_keys(aliases).groupBy("label", "key", "n").agg(F.min_by("entity", F.struct("priority", "entity")).alias("entity"), F.min("priority").alias("priority"))
-    return ngrams(rows, text, keys, longest).join(a, ["key", "n"]).select(*keys, "start", "end", "label", "entity", "priority")
+    a = one_entity(aliases)
+    a = a if longest is None else a.filter(F.col("n") <= longest)
+    t = token_tails(rows, text, keys, longest_form(a) if longest is None else longest)
+    before = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("start", F.sum(F.col("_g") + F.length("span")).over(before) - F.length("span"))
+    whole = F.regexp_substr("tail", F.concat(F.lit(f"^{TOKEN}(?:{BETWEEN}{TOKEN}){{"), (F.col("n") - 1).cast("string"), F.lit("}")))
+    found = alias_starts(t, a).withColumn("end", F.col("start") + F.length(whole))
+    return found.select(*keys, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "entity", "priority")
 
 
 def packed(spans: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -114,7 +140,7 @@ def leftmost(spans: DataFrame, keys: Sequence[str], start: str = "start", end: s
     return spans.groupBy(*keys).applyInPandas(scan, spans.schema)
 
 
-def authority_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int, first: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def authority_spans(rows: DataFrame, text: str, keys: Sequence[str], aliases: DataFrame, longest: int | None = None, first: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Non-overlapping places of aliases: leftmost-longest within a label, then over labels the longest first.
 
     ``first`` has (name, pattern) of phrases that claim their text before all

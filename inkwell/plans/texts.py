@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from inkwell.operators import mentions as N
 from inkwell.operators import relations as R
 from inkwell.operators import segments as S
 from inkwell.operators import spans as P
+from inkwell.plans.expected import EXPECTED
 from inkwell.sources.readers import table
 from inkwell.streaming import events as E
 
@@ -27,8 +29,8 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if sql or f.__name__ in EXPECTED:
+            SQL[f.__name__] = sql or EXPECTED[f.__name__]
         return f
 
     return add
@@ -83,18 +85,23 @@ x AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, g FROM t),
 n AS (SELECT doc_id, lower(m[i]) AS key FROM x UNION ALL SELECT doc_id, lower(m[i]) || ' ' || lower(m[i + 1]) FROM x WHERE i < len(m) AND regexp_full_match(g[i + 1], '\\s+'))
 SELECT doc_id, label, entity, count(*) AS n FROM n JOIN a ON key = form GROUP BY ALL""")
 def dict_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = P.dictionary_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark), 2)
+    found = P.dictionary_hits(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark))
     return found.groupBy("doc_id", "label", "entity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH a(label, entity, form, priority) AS (VALUES {ALIASES}),
+t AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS m, string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM documents),
+x AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda w: length(w))) AS len, unnest(list_transform(g[1:len(m)], lambda w: length(w))) AS gap FROM t),
+p AS (SELECT *, sum(len + gap) OVER (PARTITION BY doc_id ORDER BY i) - len AS start, sum(len + gap) OVER (PARTITION BY doc_id ORDER BY i) AS "end" FROM x),
+n AS (SELECT doc_id, start, "end", lower(m[i]) AS key FROM p UNION ALL SELECT doc_id, start, lead("end") OVER (PARTITION BY doc_id ORDER BY i), CASE WHEN i < len(m) AND regexp_full_match(g[i + 1], '\\s+') THEN lower(m[i]) || ' ' || lower(m[i + 1]) END FROM p)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", label, entity, CAST(priority AS INTEGER) AS priority FROM n JOIN a ON key = form""".replace("\\\\", "\\"))
 def dict_spans(spark: SparkSession, d: str) -> DataFrame:
-    return P.dictionary_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark), 2)
+    return P.dictionary_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark))
 
 
 @query()
 def dict_spans_packed(spark: SparkSession, d: str) -> DataFrame:
-    return P.authority_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark), 2)
+    return P.authority_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark))
 
 
 SPANS = "r AS (SELECT l_orderkey AS page, l_linenumber * 10 AS s, l_linenumber * 10 + 1 + CAST(l_quantity AS INTEGER) % 25 AS e FROM lineitem)"
@@ -156,7 +163,7 @@ def book(spark: SparkSession) -> DataFrame:
 @query()
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     lines = book(spark).select("page_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return lines.withColumn("d", D.parsed(year_only=True)(F.col("line"), F.lit(None).cast("date"))).select("page_id", "i", "line", "d.*")
+    return lines.withColumn("d", D.parsed(F.col("line"), year_only=True)).select("page_id", "i", "line", "d.*")
 
 
 @query()
@@ -197,7 +204,10 @@ def running_heads(spark: SparkSession, d: str) -> DataFrame:
     return S.editorial_spans(pages, "no such line").filter("kind = 'running_head'")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS s FROM p), x AS (SELECT doc_id, text, strpos(text, chr(10)) AS b FROM documents)
+SELECT doc_id AS page_id, CAST(s AS INTEGER) AS start, CAST(s + length(line) AS INTEGER) AS "end", 'editorial_metadata' AS kind FROM l WHERE i > 1 AND regexp_matches(line, '(?i)licen[cs]ed\s+under|public\s+license')
+UNION ALL SELECT doc_id, CAST(length(text) - length(ltrim(text)) AS INTEGER), CAST(CASE WHEN b > 0 THEN b - 1 ELSE length(text) END AS INTEGER), 'running_head' FROM x WHERE trim(text) <> ''""".replace("\\\\", "\\"))
 def editorial_spans(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
     return S.editorial_spans(pages, r"Licen[cs]ed\s+under|Public\s+License")
@@ -218,7 +228,54 @@ def book_mentions(spark: SparkSession) -> DataFrame:
 
 @query()
 def relations_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    return R.relate(R.neighbours(book_mentions(spark), book(spark))).select("page_id", "name", "b_name", "relation", "confidence", "gap")
+    return R.relate(R.neighbours(book_mentions(spark), book(spark))).select("page_id", "name", "b_name", "relation", "confidence", "cue")
+
+
+#: Sentences, the names in them in order, and their types: one for each rule and for what no rule takes.
+SENTENCES = [
+    ("Sir Iohn Wyatt Gouernor and Captaine generall of Virginia.", "Sir Iohn Wyatt:person Virginia:place"),
+    ("Mr Pountis hath the command of Henrico.", "Mr Pountis:person Henrico:place"),
+    ("Mr Bland his house at Kent.", "Mr Bland:person Kent:place"),
+    ("Thomas Rich had 50 acres of land neere Henrico.", "Thomas Rich:person Henrico:place"),
+    ("George Poole was slayne at Henrico.", "George Poole:person Henrico:place"),
+    ("Anne Wood went to Bermuda, and Virginia.", "Anne Wood:person Bermuda:place Virginia:place"),
+    ("Capt. Poole lately come from Bermuda.", "Capt. Poole:person Bermuda:place"),
+    ("Iane Moore dwelling in the parish of Kent.", "Iane Moore:person Kent:place"),
+    ("[Indorsed:] Mr Pory: from Virginia.", "Mr Pory:person Virginia:place"),
+    ("a note to Mr Pory: from Virginia.", "Mr Pory:person Virginia:place"),
+    ("Capt. Poole marched vpon Nansamums, & Wariscoyacks.", "Capt. Poole:person Nansamums:group Wariscoyacks:group"),
+    ("Capt. Poole had trade with Patawomecks.", "Capt. Poole:person Patawomecks:group"),
+    ("Mr Wood made a peace with Patawomecks.", "Mr Wood:person Patawomecks:group"),
+    ("Mary Moore the daughter of Iohn Moore, and Thomas Bland.", "Mary Moore:person Iohn Moore:person Thomas Bland:person"),
+    ("Thomas Bland his wife Anne Bland.", "Thomas Bland:person Anne Bland:person"),
+    ("Robert Cole, his wife, Richard Rowe.", "Robert Cole:person Richard Rowe:person"),
+    ("Iohn Rowe servant to Robert Cole.", "Iohn Rowe:person Robert Cole:person"),
+    ("Robert Cole his man Iohn Rowe.", "Robert Cole:person Iohn Rowe:person"),
+    ("Mr Wood. A letter to Mr Pory.", "Mr Wood:person Mr Pory:person"),
+    ("Mr Wood wrote vnto Mr Pory.", "Mr Wood:person Mr Pory:person"),
+    ("Mr Cole complayned of Mr Rowe.", "Mr Cole:person Mr Rowe:person"),
+    ("Mr Cole his suit against the said Mr Rowe.", "Mr Cole:person Mr Rowe:person"),
+    ("Mr Cole passed three shares vnto Mr Rowe.", "Mr Cole:person Mr Rowe:person"),
+    ("Mr Cole to Mr Rowe for 3 shares.", "Mr Cole:person Mr Rowe:person"),
+    ("Anne Wood maried to Iohn Rowe.", "Anne Wood:person Iohn Rowe:person"),
+    ("At Henrico of Mr Bland his people.", "Henrico:place Mr Bland:person"),
+    ("the Gouernor of Virginia, Mr Bland came.", "Virginia:place Mr Bland:person"),
+    ("Mr Bland was heard. Virginia is far.", "Mr Bland:person Virginia:place"),
+]
+
+
+@query()
+def relation_rules(spark: SparkSession, d: str) -> DataFrame:
+    pages, mentions = [], []
+    for i, (text, names) in enumerate(SENTENCES):
+        page, at = f"s{i:02d}", 0
+        pages.append((page, text))
+        for name, kind in (x.rsplit(":", 1) for x in re.findall(r"\S.*?:(?:person|place|group)", names)):
+            at = text.index(name, at)
+            mentions.append((page, kind, name, at, at + len(name), f"K-{name}"))
+            at += len(name)
+    m = spark.createDataFrame(mentions, "page_id string, type string, name string, start int, end int, key string")
+    return R.relations(m, spark.createDataFrame(pages, "page_id string, text string"))
 
 
 @query()
@@ -228,14 +285,15 @@ def relations_spread(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def titled_context(spark: SparkSession, d: str) -> DataFrame:
-    hits = P.matches(table(spark, d, "documents"), "text", r"\b[A-Z][a-z]{3,}\b", ["doc_id"]).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    pages = book(spark).select("page_id", "text")
+    hits = P.matches(pages, "text", r"\b[A-Z][a-z]{3,}\b", ["page_id"]).join(pages, "page_id")
     found = P.context_columns(hits, "text", 40, 20)
-    return N.titled(found, F.col("before")).filter("title is not null").select("doc_id", "start", "span", "title")
+    return N.titled(found, F.col("before")).filter("title is not null").select("page_id", "start", "span", "title")
 
 
 @query()
 def mention_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return N.extract(book(spark), dictionary_of_book(spark), 3)
+    return N.extract(book(spark), dictionary_of_book(spark))
 
 
 def dictionary_of_book(spark: SparkSession) -> DataFrame:
@@ -251,6 +309,56 @@ def group_mentions(spark: SparkSession, d: str) -> DataFrame:
     return N.groups(pages, lexicon)
 
 
+PEOPLE = [("Sandys, Edwin", ["Sir Edwin Sandys", "Sandys", "Edwin  Sandys"]), ("Pocahontas", ["Matoaka", "Lady Rebecca"]), ("Bishop of London", ["John King"]), ("Argall", None)]
+
+
+def people_of_book(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PEOPLE, "person string, aliases array<string>")
+
+
+@query()
+def matcher_entries(spark: SparkSession, d: str) -> DataFrame:
+    contextual = spark.createDataFrame([(0, "the lord  Treasuror"), (1, "my lord")], "ord int, form string")
+    places = spark.createDataFrame([("NW-001", ["Virginia", " Virginia  Colony "]), ("NW-002", [""])], "place_id string, aliases array<string>")
+    excluded = spark.createDataFrame([("Smith", "too many people"), ("Tiger", "ship of 1620"), ("Ibid", "phrase")], "name string, reason string")
+    more = spark.createDataFrame([("Henrico and Charles Citty", "Compound of two places"), ("Old Court", "a building")], "name string, reason string")
+    return N.entries(people_of_book(spark), contextual, places, excluded, more)
+
+
+@query()
+def surname_set(spark: SparkSession, d: str) -> DataFrame:
+    return N.surnames(people_of_book(spark))
+
+
+@query()
+def bare_surnames(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("p1", "PLACE", "OW-1", "Sandys", "mr Sandys moved the court"), ("p2", "PLACE", "OW-1", "Sandys", "they sailed from Sandys parish"), ("p3", "PLACE", "OW-2", "Sandys", "mr Sandys spoke"), ("p4", "PLACE", "OW-1", "Bacon", "mr Bacon spoke"), ("p5", "PERSON", "x", "Sandys", "mr Sandys")]
+    found = spark.createDataFrame(rows, "page_id string, label string, entity string, span string, sentence string")
+    places = spark.createDataFrame([("OW-1", "ambiguous_contextual"), ("OW-2", "exact")], "place_id string, matching_policy string")
+    return N.bare_surnames(found, N.surnames(people_of_book(spark)), places, F.col("sentence"), ["from", "at", "in"], ["parish", "town"])
+
+
+@query()
+def cleaned_mentions(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("p", 10, "Sir Edwin Sandys moued"), ("p", 40, "Deputie"), ("p", 60, "(Sandys)."), ("p", 80, "Nos."), ("p", 90, "Counsell"), ("p", 100, "Edwin Sandys,"), ("p", 120, "Iohn Smith and others")]
+    m = spark.createDataFrame(rows, "page_id string, start int, span string").withColumn("end", F.col("start") + F.length("span"))
+    return N.cleaned(m)
+
+
+@query()
+def note_mentions(spark: SparkSession, d: str) -> DataFrame:
+    notes = [("V01-P0002", [("Land graunted in Virginia to Sir Edwin Sandys.",), ("m' Steward. m' Binge. m' Tomlins.",)]), ("V01-P0003", None)]
+    pages = spark.createDataFrame(notes, "page_id string, margin_notes array<struct<text:string>>")
+    return N.note_mentions(pages, dictionary_of_book(spark))
+
+
+@query()
+def flag_counts(spark: SparkSession, d: str) -> DataFrame:
+    from inkwell.operators.quality import flag_counts as counted
+
+    return counted(S.page_roles(book(spark)), S.editorial_spans(book(spark), r"Document\s+in"))
+
+
 def known_words(spark: SparkSession, d: str, least: int) -> DataFrame:
     """Distinct words of the benchmark texts, as a lexicon."""
     return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word")).distinct()
@@ -290,7 +398,10 @@ def page_overlap(spark: SparkSession, d: str) -> DataFrame:
     return L.page_overlaps(docs, docs, near)
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}'))) AS w FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, k / least(p.n, q.n) AS score FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k / least(p.n, q.n) >= 0.9""")
 def near_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return L.page_overlaps(docs, docs, least=0.9).filter("a < b")
@@ -361,8 +472,8 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def found_again(spark: SparkSession, d: str) -> DataFrame:
-    hits = P.matches(table(spark, d, "documents"), "text", "[A-Z][a-z]+ [a-z]+", ["doc_id"]).filter("i = 0").join(table(spark, d, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id")
-    return P.nearest_place(hits.withColumn("expected", F.lit(0.0)), "text", "span", "expected").select("doc_id", "span", "found_start", "found_end")
+    hits = P.matches(table(spark, d, "documents"), "text", "[A-Z][a-z]+ [a-z]+", ["doc_id"]).join(table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"), F.length("text").alias("size")), "doc_id")
+    return P.nearest_place(hits.withColumn("expected", F.col("start") / F.col("size")), "text", "span", "expected").select("doc_id", "start", "span", "found_start", "found_end")
 
 
 @query()
@@ -370,7 +481,7 @@ def map_rings(spark: SparkSession, d: str) -> DataFrame:
     from inkwell.operators.graph import clipped
 
     ring = F.expr("transform(sequence(0, 40), i -> struct(cast(10 * cos(i * pi() / 20) as double) as lon, cast(10 * sin(i * pi() / 20) as double) as lat))")
-    return clipped(spark.range(1).select("id", ring.alias("ring")), "ring", (0.0, 0.0, 20.0, 20.0), 0.05)
+    return clipped(spark.range(1).select("id", ring.alias("ring")), "ring", (0.0, 0.0, 20.0, 20.0), 0.05).select("id", F.to_json("clipped").alias("clipped"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS id, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT c_custkey, first FROM customer LEFT JOIN o ON c_custkey = id""")
