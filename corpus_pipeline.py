@@ -20,27 +20,45 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null text is empty; null sources and languages are groups of their own; rows that repeat
+    an id stay or go each by its own text. An empty table gives an empty one.
+    """
     return good_rows(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """One document of each text stays, that of the largest id; null text is empty, a null id stays only without any other.
+
+    Of rows that repeat id and text one stays. An empty table gives an empty one.
+    """
     return exact_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest id; null text is empty, a null id stays only without any other.
+
+    Texts without words are alike; of rows that repeat id and text one stays. An empty table gives an empty one.
+    """
     return near_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order.
+
+    A null source is a source; documents without words, null ones too, stay once; rows that
+    repeat an id are documents of their own. An empty table gives an empty one.
+    """
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into windows."""
+    """Pieces of documents, packed into windows.
+
+    A null or empty text is its end mark alone; rows that repeat an id are documents of
+    their own, which share their id. An empty table gives no pieces.
+    """
     return pack(docs).drop("ids")
 
 
