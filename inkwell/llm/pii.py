@@ -191,7 +191,7 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", most
     new = bootstrap(tokens, most_rounds)
     added = tokens.filter(F.coalesce("seed", F.lit(SECRET)) == SECRET).join(new, "x").select("r", "start", rank.alias("rank"), "kind", (F.col("start") + F.length("x")).alias("end"), F.lit(False).alias("base"))
     spans = base.unionByName(added).groupBy("r").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "base"))).alias("found"))
-    out = rows.select("r", "doc_id").join(spans, "r", "left")
+    out = rows.select("r", "doc_id").join(spans.hint("merge"), "r", "left")  # both grow with the documents
     nothing = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean>>")
     out = out.withColumn("found", F.coalesce("found", nothing))
     count = lambda k: F.size(F.filter("found", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
