@@ -70,3 +70,29 @@ def test_stages_on_their_own_input(spark, tmp_path):
     assert {x.doc_id for x in packed} == {x.doc_id for x in mixed}
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sum(x.length for x in whole.collect()) == sum(x.length for x in packed)
+
+
+def test_near_stage_equals_brute_force_on_the_driver_table(spark):
+    """No document goes without a partner at 0.8, and at least nine tenths of the copies go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    rows = {x.doc_id: set(simhash.shingle_hashes(x.text or "", 5).tolist()) for x in docs.collect()}
+    held = {}
+    for i, h in rows.items():
+        for v in h:
+            held.setdefault(v, []).append(i)
+    near = {(a, b) for ids in held.values() if len(ids) < 100 for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    pairs = [(a, b) for a, b in near if len(rows[a] & rows[b]) >= 0.8 * len(rows[a] | rows[b])]
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    gone = set(rows) - kept
+    assert gone <= {x for p in pairs for x in p} and pairs
+    assert sum(a in kept and b in kept for a, b in pairs) <= 0.1 * len(pairs)
+
+
+def test_the_pipeline_takes_empty_tables_and_clashing_names(spark, tmp_path):
+    cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = cases.table(spark, True)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0, name

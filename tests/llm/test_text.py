@@ -371,3 +371,148 @@ def test_neighbours_share_words():
         for d, _, n in g:
             done[d] += n
     assert done == Counter({i: len(p) for i, p in enumerate(pieces)})
+
+
+def plain_bootstrap(tokens):
+    """The bootstrap of ``pii.bootstrap`` over lists: (x, contexts, seed)."""
+    graph, known = set(), {}
+    for x, left, seed in tokens:
+        w = [t[-pii.WORD_END :] for t in left.lower().split()]
+        if left[-1:].isspace() and w:
+            graph.add((x, w[-1]))
+            if len(w) > 1:
+                graph.add((x, f"{w[-2]} {w[-1]}"))
+        if seed:
+            known[x] = min(seed, known.get(x, seed))
+    seeds = dict(known)
+    of = defaultdict(set)
+    for x, p in graph:
+        of[p].add(x)
+    fits = lambda x, kind: re.search(pii.SHAPES[kind], x) is not None
+
+    def scored(xs):
+        votes = defaultdict(list)
+        for p, members in of.items():
+            for kind, f in Counter(known[x] for x in members if x in known).items():
+                if f >= pii.LEAST_SEEDS and f / len(members) >= pii.LEAST_CONFIDENCE:
+                    for x in members & xs:
+                        if fits(x, kind):
+                            votes[x, kind].append(f / len(members))
+        best = {}
+        for (x, kind), c in votes.items():
+            score = 1 - math.prod(1 - min(v, 0.99) for v in c)
+            if score >= pii.LEAST_SCORE and len(c) >= pii.LEAST_PATTERNS:
+                best[x] = max(best.get(x, (0, 0, "")), (score, len(c), kind))
+        return {x: k for x, (_, _, k) in best.items()}
+
+    while new := scored({x for x, _ in graph} - set(known)):
+        known |= new
+    secret = {x for x, k in seeds.items() if k == pii.SECRET}
+    return {x: k for x, k in known.items() if x not in seeds} | {x: k for x, k in scored(secret).items() if k == pii.SECRET}
+
+
+def test_bootstrap_equals_plain_python(spark):
+    r = random.Random(21)
+    contexts = {"phone": ["please call ", "our phone ", "dial now "], "email": ["write to ", "e-mail "], "secret": ["token = ", "the key "], "none": ["in the year ", "page ", "call ", "sum of "]}
+    make = {"phone": lambda: f"+{r.randrange(10**11, 10**12)}", "email": lambda: f"u{r.randrange(99)}@ex.org", "secret": lambda: "".join(r.choices("0123456789abcdef", k=40)), "none": lambda: str(r.randrange(10**5, 10**9))}
+    tokens = []
+    for _ in range(500):
+        kind = r.choice(list(contexts))
+        x = make[kind]()
+        seed = kind if kind != "none" and r.random() < 0.8 else None
+        for _ in range(r.randrange(1, 4)):
+            tokens.append((x, r.choice(contexts[kind]) if r.random() < 0.9 else r.choice(contexts[r.choice(list(contexts))]), seed))
+    got = {x.x: x.kind for x in pii.bootstrap(spark.createDataFrame(tokens, "x string, left string, seed string")).collect()}
+    want = plain_bootstrap(tokens)
+    assert got == want and {"phone", "email", "secret"} <= set(want.values())
+
+
+def test_secrets_are_found_where_contexts_confirm_them(spark):
+    rows = [(i, f'some prose token = "{i:040x}" and more prose\ntoken = "{i + 500:040x}"!!', "en", "a", 1) for i in range(8)]
+    rows += [(100 + i, f"commit number{i} {i + 900:040x} here", "en", "a", 1) for i in range(2)]
+    got = {x.doc_id: x for x in pii.personal_data(cases.table(spark, values=rows)).collect()}
+    for d, t, *_ in rows:
+        want = [m[0] for m in re.finditer("(?<=\")[0-9a-f]{40}", t)]
+        assert [t[s.start : s.end] for s in got[d].found if s.kind == "secret"] == want
+
+
+def test_posteriors_equal_plain_sums_without_the_own_document(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice(["x", "y", None]), r.gauss(0.5, 2)) for _ in range(120)] + [("lone", "z", 2.0)]
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    scored = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, host string, path string, logit double")
+    named = scored.withColumn("site", quality.site(scored.host, scored.path)).drop("host", "path")
+    got = {x.doc_id: x.score for x in quality.with_sites(named, quality.posteriors(scored)).select("doc_id", quality.combined().alias("score")).collect()}
+    base = sum(sig(x) for *_, x in rows) / len(rows)
+
+    def spread(groups):  # (n, good, mean)
+        n = sum(g[0] for g in groups)
+        over = sum(k * (good / k - m) ** 2 for k, good, m in groups) / n - sum(m * (1 - m) for *_, m in groups) / n
+        return max(1.0, min(1e6, sum(k * m * (1 - m) for k, _, m in groups) / n / over - 1)) if over > 0 else 1e6
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, p, x in rows:
+        hosts[h].append(sig(x))
+        paths[h, p].append(sig(x))
+    kh = spread([(len(v), sum(v), base) for v in hosts.values()])
+    mean = {h: (sum(v) + kh * base) / (len(v) + kh) for h, v in hosts.items()}
+    kp = spread([(len(v), sum(v), mean[h]) for (h, _), v in paths.items()])
+    logit = lambda q: math.log(q / (1 - q))
+    for i, (h, p, x) in enumerate(rows):
+        host = (sum(hosts[h]) - sig(x) + kh * base) / (len(hosts[h]) - 1 + kh)
+        path = (sum(paths[h, p]) - sig(x) + kp * host) / (len(paths[h, p]) - 1 + kp)
+        assert got[i] == pytest.approx(sig(x + logit(path) - logit(base)))
+
+
+def test_weights_and_extreme_value_law_by_hand(spark):
+    docs = [("alpha beta", 0, 0)] * 30 + [("alpha gamma", 1, 0)] * 20 + [("alpha delta", 0, 2)] * 7
+    counts = toxicity.token_counts(spark.createDataFrame(docs, "body string, y int, part int"))
+    got = {bytes(x.w): (x.a0, x.b0, x.a2, x.b2) for x in counts.collect()}
+    assert got[b""] == (30, 20, 7, 0) and got[b"alpha"] == (30, 20, 7, 0) and got[b"gamma"] == got[b"^gamma"] == (0, 20, 0, 0)
+    weights = toxicity.learn_weights(counts, [0])
+    alpha = toxicity.PRIOR * 20
+    odds = lambda k, n, other: math.log((k + alpha) / ((1 + toxicity.PRIOR) * n + toxicity.PRIOR * other + 1 - k - alpha))
+    assert weights[b"gamma"] == pytest.approx(odds(20, 20, 30) - odds(0, 30, 20) - toxicity.DRIFT)
+    assert b"alpha" not in weights and weights[b"beta"] < 0 and b"^beta" not in weights
+    best, n = np.array([0.0, 1.0, 2.0, 3.0]), np.array([10.0, 10.0, 20.0, 20.0])
+    rate, size = toxicity.extreme_value_law(n, best)
+    assert rate == pytest.approx(math.pi / math.sqrt(6) / best.std())
+    assert np.mean(np.log(size * n) + np.euler_gamma) == pytest.approx(rate * best.mean())
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    docs = cases.table(spark, values=[(i, f"text {i}", "en", "a", 1) for i in range(60)] + [(3, "again", "en", "a", 1)])
+    labels = [(i, 1, i % 2) for i in range(60)] + [(6, 1, 0), (9, 1, 0), (3, 1, 1), (None, 1, 1)]
+    got = toxicity.labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "toxic", (0, 1, 2), 1000).collect()
+    assert Counter((x.body, x.y) for x in got) == Counter([(f"text {i}", i % 2) for i in range(60) if i != 9] + [("again", 1)])
+
+
+def test_scores_are_bm25():
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(0, 40, rng.integers(5, 60)).astype(np.uint16) for _ in range(30)]
+    idf = rng.random(41).astype(np.float32)
+    shard = packing.Shard(idf, 25.0, 512)
+    shard.index(pieces)
+    for seed in (0, 7):
+        terms, tf = np.unique(pieces[seed], return_counts=True)
+        w = packing.bm25(idf[terms], tf, len(pieces[seed]), 25.0)
+        asked = terms[np.argsort(-w, kind="stable")[: packing.TERMS]]
+        want = [sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(p) / 25.0)) for t in asked if (f := int((p == t).sum()))) for p in pieces]
+        assert shard.scores(seed) == pytest.approx(np.array(want), rel=1e-5)
+
+
+def test_related_documents_meet_in_a_shard(spark):
+    """Documents of one topic, dealt over all partitions, share windows: shards hold those that ask for the same."""
+    rows = [(i, " ".join(f"topic{i % 20}word{k}" for k in cases.words(i, 60, 12)), "en", "a", 1) for i in range(400)]
+    got = packing.pack(cases.table(spark, values=rows).repartition(16), window=1024, shard_docs=40).collect()
+    windows = defaultdict(set)
+    for x in got:
+        windows[x.sequence_id].add(x.doc_id % 20)
+    assert sum(len(w) <= 2 for w in windows.values()) > 0.6 * len(windows)
+
+
+def test_histogram_of_nothing_and_clashing_names(spark):
+    h = tokens.length_histogram(tokens.token_lengths(cases.empty(spark)))
+    assert [tuple(x) for x in tokens.at_limits(h, [5]).collect()] == [(5, 0, 0)] and tokens.quantile(h, 0.5).collect()[0][0] is None
+    assert tokens.token_lengths(cases.table(spark, True), keep=["_body", "doc_id"]).count() == len(cases.rows())
+    assert mixing.mixed_rows(cases.empty(spark)).count() == 0
