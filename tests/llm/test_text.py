@@ -501,14 +501,29 @@ def test_scores_are_bm25():
         assert shard.scores(seed) == pytest.approx(np.array(want), rel=1e-5)
 
 
-def test_related_documents_meet_in_a_shard(spark):
-    """Documents of one topic, dealt over all partitions, share windows: shards hold those that ask for the same."""
-    rows = [(i, " ".join(f"topic{i % 20}word{k}" for k in cases.words(i, 60, 12)), "en", "a", 1) for i in range(400)]
-    got = packing.pack(cases.table(spark, values=rows).repartition(16), window=1024, shard_docs=40).collect()
-    windows = defaultdict(set)
-    for x in got:
-        windows[x.sequence_id].add(x.doc_id % 20)
-    assert sum(len(w) <= 2 for w in windows.values()) > 0.6 * len(windows)
+def test_documents_that_ask_for_the_same_stand_together():
+    """In the order of signatures, over the whole corpus, neighbours are of one topic far more often than by chance."""
+    rng = np.random.default_rng(7)
+    common, topics = rng.integers(0, 300, 4000), [rng.integers(300, 4000, 25) for _ in range(40)]
+    pieces = [np.concatenate([rng.choice(common, 60), rng.choice(topics[i % 40], 60)]).astype(np.uint16) for i in range(800)]
+    held = np.zeros(4001)
+    for p in pieces:
+        held[np.unique(p)] += 1
+    idf = np.log1p((800 - held + 0.5) / (held + 0.5)).astype(np.float32)
+    order = sorted(range(800), key=lambda i: (*packing.signature(pieces[i], idf, 120.0), i))
+    same = sum(a % 40 == b % 40 for a, b in zip(order, order[1:]))
+    assert same > 0.4 * 799  # one in forty by chance
+
+
+def test_all_neighbours_are_tried_before_others():
+    rng = np.random.default_rng(1)
+    small = [np.full(4, 1, np.uint16) for _ in range(400)]  # more than are sorted first, too small to fill a window by those
+    others = [rng.integers(10, 40, 900).astype(np.uint16) for _ in range(2)]
+    seed = np.concatenate([np.full(30, 1), np.full(971, 2)]).astype(np.uint16)
+    idf = np.ones(41, np.float32)
+    first = next(packing.Shard(idf, 50.0, 2048).order([seed, *small, *others]))
+    assert first[0][0] == 0 and all(1 <= d <= 400 for d, *_ in first[1:])
+    assert [n for *_, n in first[1:]] == [4] * 261 + [3]  # the last one is cut
 
 
 def test_histogram_of_nothing_and_clashing_names(spark):
