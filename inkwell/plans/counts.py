@@ -89,6 +89,29 @@ def assoc_by_year(spark: SparkSession, d: str) -> DataFrame:
     return A.by_year(found(spark, d))
 
 
+@query(f"""WITH {LINES}, r AS (SELECT l_suppkey AS person, p_brand AS target, CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS relation FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3),
+c AS (SELECT person, target, relation, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT person, target, string_agg(relation || CASE WHEN n > 1 THEN '×' || n ELSE '' END, '; ' ORDER BY n DESC, relation) AS relations FROM c GROUP BY ALL),
+p AS (SELECT person, target, count(*) AS units FROM x GROUP BY ALL)
+SELECT p.person, p.target, units, coalesce(relations, '') AS relations FROM p LEFT JOIN s ON p.person = s.person AND p.target = s.target""")
+def assoc_links_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the relations found in their units; the first three lines of an order stand for relations."""
+    t = lines(spark, d)
+    relations = t.filter("ord <= 3").select("unit", "person", "target", F.when(F.col("ord") % 2 == 0, "even").otherwise("odd").alias("relation"))
+    pairs = found(spark, d)
+    return A.with_relations(pairs.groupBy("person", "target").agg(F.count("*").alias("units")), pairs, relations, ["person", "target"])
+
+
+@query(f"""WITH {LINES}
+SELECT CAST(year(date) AS INTEGER) AS year, person, target, ['high', 'medium', 'low', 'none'][min(unit % 4) + 1] AS date_confidence FROM x GROUP BY ALL""")
+def assoc_year_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The best confidence of each year's dates; an order's number stands for its date's confidence."""
+    level = F.element_at(F.array(*map(F.lit, A.CONFIDENCE)), (F.col("unit") % 4 + 1).cast("int"))
+    t = lines(spark, d).withColumn("confidence", level)
+    yearly = A.by_year(A.evidence(t, t, ["date", "confidence"]), confidence="confidence")
+    return yearly.select("year", "person", "target", "date_confidence")
+
+
 @query(f"""WITH {YEARLY}
 SELECT person, target, CAST(sum(meetings) AS BIGINT) AS meetings, CAST(sum(close_meetings) AS BIGINT) AS close_meetings, CAST(sum(present_meetings) AS BIGINT) AS present_meetings,
        min(min_distance) AS min_distance, min(year) AS first_year, max(year) AS last_year

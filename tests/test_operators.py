@@ -301,3 +301,34 @@ def test_near_pages_equal_brute_force(spark, tmp_path):
     assert any((a - b) % 2 == 0 for a, b in want) and len(want) > 300
     got = [(x.a, x.b) for x in catalogue.QUERIES["near_pages"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_network_with_relations(spark):
+    from inkwell.operators import metrics as M
+
+    rows = [(n, u) for u in range(6) for n in ("a", "b")] + [("c", 0), ("c", 9), ("d", 1)]
+    relations = spark.createDataFrame([("b", "a", "kin_of"), ("c", "a", "letter_to"), ("a", "c", "married"), ("a", "a", "kin_of"), ("z", "a", "kin_of")], "subject string, object string, relation string")
+    got = {(r.a, r.b): (r.shared, r.relations, round(r.weight, 3)) for r in M.network(spark.createDataFrame(rows, "node string, unit int"), "node", "unit", relations=relations).collect()}
+    assert got == {("a", "b"): (6, 1, 1.05), ("a", "c"): (0, 2, 0.1)}
+
+
+def test_numbers_follow_the_order_whatever_the_ranges(spark):
+    names = [f"Customer#{i:09d}" for i in range(300)]
+    got = K.with_ids(spark.createDataFrame([(n,) for n in names], "n string").repartition(7), "n", "id", bins=8).collect()
+    assert {r.n: r.id for r in got} == {n: i + 1 for i, n in enumerate(names)}
+
+
+def test_long_gaps_and_long_aliases_match(spark):
+    text = "the Isle  \n   of\tWight, and the Isle of Wightman; of, Wight"
+    pages = spark.createDataFrame([("p", text)], "page_id string, text string")
+    aliases = spark.createDataFrame([("PLACE", "IW", "Isle of Wight", 0), ("PLACE", "W", "of Wight", 0)], "label string, entity string, form string, priority int")
+    got = {(r.start, r.end, r.entity) for r in P.dictionary_spans(pages, "text", ["page_id"], aliases).collect()}
+    end = text.index("Wight") + len("Wight")
+    assert got == {(text.index("Isle"), end, "IW"), (text.index("of"), end, "W")}
+
+
+def test_pages_without_a_volume_are_dated(spark):
+    from inkwell.operators import segments as S
+
+    pages = spark.createDataFrame([("a", None, 1, "JULY 9, 1620 1"), ("b", 9, 1, "JULY 9, 1621 1")], "page_id string, volume int, ord long, text string")
+    assert {(r.page_id, r.start) for r in S.date_pages(pages).collect()} == {("a", date(1620, 7, 9)), ("b", date(1621, 7, 9))}
