@@ -102,6 +102,45 @@ def clean_name(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[\[\]()]", ""), r"\s+", " "), r"^[ .,:;]+|[ .,:;]+$", "")
 
 
+def clean_alias(s: Column) -> Column:
+    """Spaces squeezed, without outer spaces, commas, full stops and semicolons."""
+    return F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" ,.;"))
+
+
+def clean_form(s: Column) -> Column:
+    """A spelling without the marks of insertions (§ and ||) and without outer punctuation, spaces squeezed."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(s, r"§|\|\|", ""), r"\s+", " "), F.lit(" ,.;:-'’"))
+
+
+def name_of(name: Column, span: Column, titles: str) -> Column:
+    """The name where there is one; else the span without leading titles (a pattern) if two words stay, else the whole span."""
+    flat = F.btrim(F.regexp_replace(span, r"\s+", " "))
+    bare = F.regexp_replace(flat, rf"^(?:(?i:{titles})(?![A-Za-z])\s*[,;:—–-]?\s*)+", "")
+    return F.when(F.coalesce(name, F.lit("")) != "", name).when(F.regexp_count(bare, F.lit("[A-Za-z]{2,}")) >= 2, bare).otherwise(flat)
+
+
+def standard_name(name: Column, given: Mapping[str, str]) -> Column:
+    """First and last word of a name, the given name in its standard form, ``ff`` as ``F``; unchanged for one word."""
+    words = F.regexp_extract_all(name, F.lit(LETTERS + "+"), F.lit(0))
+    first = F.lower(F.get(words, F.lit(0)))
+    if given:
+        names = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+        first = F.coalesce(F.get(F.array(names[first]), F.lit(0)), first)
+    last = F.try_element_at(words, F.lit(-1))
+    last = F.when(F.lower(last).startswith("ff"), F.concat(F.lit("F"), F.substr(last, F.lit(3)))).otherwise(F.concat(F.upper(F.left(last, F.lit(1))), F.substr(last, F.lit(2))))
+    first = F.concat(F.upper(F.left(first, F.lit(1))), F.lower(F.substr(first, F.lit(2))))
+    return F.when(F.size(words) < 2, name).otherwise(F.concat_ws(" ", first, last))
+
+
+def passage(text: Column, start: Column, end: Column) -> Column:
+    """The text around a span between the nearest full stops, semicolons or blank lines; the closing mark stays."""
+    marks = (".", ";", "\n\n")
+    head, tail = F.left(text, start), F.substr(text, end + 1)
+    before = F.least(*(F.length(F.substring_index(head, m, -1)) for m in marks))
+    after = F.coalesce(F.least(*(F.nullif(F.instr(tail, m), F.lit(0)) for m in marks)), F.length(tail))
+    return F.regexp_replace(F.substr(text, start - before + 1, before + (end - start) + after), r"^\s+|\s+$", "")
+
+
 def bracketed(sentence: Column, span: Column) -> Column:
     """The first place of ``span`` in double brackets; unchanged where it does not occur."""
     at = F.locate(span, sentence) if isinstance(span, str) else F.position(span, sentence)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import overlap, word_set
@@ -168,31 +169,62 @@ def margin_notes(classified: DataFrame) -> DataFrame:
     return out.filter(F.regexp_count("text", F.lit("[A-Za-z]{3,}")) >= 2)
 
 
+def set_key(words: Column) -> Column:
+    """One number for a set of words, whatever their order."""
+    return F.xxhash64(F.array_sort(words))
+
+
+def set_pairs(p: DataFrame, q: DataFrame, least: float) -> DataFrame:
+    """(ka, kb, score) of distinct word sets (k, w) on both sides that share ``least`` of the smaller one.
+
+    The smaller set of such a pair has one of its rarest words, so many as may be missing and one more, in the other:
+    sets are looked up by these.
+    """
+    words = p.unionByName(q).dropDuplicates(["k"]).select("k", F.size("w").alias("size"), F.explode(F.transform("w", lambda v: F.xxhash64(v))).alias("word"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("n", "word"))
+    rare = ranked.withColumn("i", rank).filter(F.col("i") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).select("k", "word", "size")
+    met = rare.alias("s").join(words.alias("l"), F.expr("s.word = l.word and s.size <= l.size")).select(F.col("s.k").alias("s"), F.col("l.k").alias("l")).distinct()
+    met = met.unionByName(met.select(F.col("l").alias("s"), F.col("s").alias("l"))).distinct()
+    scored = met.join(p.select(F.col("k").alias("s"), F.col("w").alias("ws")), "s").join(q.select(F.col("k").alias("l"), F.col("w").alias("wl")), "l")
+    return scored.select(F.col("s").alias("ka"), F.col("l").alias("kb"), overlap(F.col("ws"), F.col("wl")).alias("score")).filter(F.col("score") >= least)
+
+
+def set_overlaps(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of all pairs of x (a, wa) and y (b, wb) whose word sets share ``least`` of the smaller one; equal sets are looked up once."""
+    x, y = (t.filter(F.size(w) > 0).withColumn(k, set_key(F.col(w))) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
+    p, q = (t.select(F.col(k).alias("k"), F.col(w).alias("w")).dropDuplicates(["k"]) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
+    return set_pairs(p, q, least).join(x.select("a", "ka"), "ka").join(y.select("b", "kb"), "kb").select("a", "b", "score")
+
+
 def page_overlaps(a: DataFrame, b: DataFrame, candidates: DataFrame | None = None, least: float = 0.25) -> DataFrame:
     """(a, b, score) for pages of two editions, each with id and text: shared words over the smaller set.
 
-    Without ``candidates`` all pairs (a, b) are searched. The smaller set of a pair that scores ``least`` has one of
-    its rarest words, so many as may be missing and one more, in the other: sets are looked up by these, equal sets once.
+    Without ``candidates`` all pairs (a, b) are searched.
     """
     x = a.select(F.col("id").alias("a"), word_set(F.col("text")).alias("wa"))
     y = b.select(F.col("id").alias("b"), word_set(F.col("text")).alias("wb"))
     if candidates is None:
-        key = lambda w: F.xxhash64(F.array_sort(w))
-        x, y = (t.filter(F.size(w) > 0).withColumn(k, key(F.col(w))) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
-        p, q = (t.select(F.col(k).alias("k"), F.col(w).alias("w")).dropDuplicates(["k"]) for t, w, k in ((x, "wa", "ka"), (y, "wb", "kb")))
-        words = p.unionByName(q).dropDuplicates(["k"]).select("k", F.size("w").alias("size"), F.explode(F.transform("w", lambda v: F.xxhash64(v))).alias("word"))
-        ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("n", "word"))
-        rare = ranked.withColumn("i", rank).filter(F.col("i") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1).select("k", "word", "size")
-        met = rare.alias("s").join(words.alias("l"), F.expr("s.word = l.word and s.size <= l.size")).select(F.col("s.k").alias("s"), F.col("l.k").alias("l")).distinct()
-        met = met.unionByName(met.select(F.col("l").alias("s"), F.col("s").alias("l"))).distinct()
-        scored = met.join(p.select(F.col("k").alias("s"), F.col("w").alias("ws")), "s").join(q.select(F.col("k").alias("l"), F.col("w").alias("wl")), "l")
-        scored = scored.select(F.col("s").alias("ka"), F.col("l").alias("kb"), overlap(F.col("ws"), F.col("wl")).alias("score")).filter(F.col("score") >= least)
-        return scored.join(x.select("a", "ka"), "ka").join(y.select("b", "kb"), "kb").select("a", "b", "score")
+        return set_overlaps(x, y, least)
     t = candidates.select("a", "b").distinct().join(x, "a").join(y, "b")
     return t.select("a", "b", overlap(F.col("wa"), F.col("wb")).alias("score")).filter(F.col("score") >= least)
 
 
+def near_page_classes(pages: DataFrame, least: float = 0.9) -> DataFrame:
+    """id, class_id, links for pages (id, text): pages of one word set share a class, named by its smallest id.
+
+    ``links`` counts the other pages that share ``least`` of the smaller word set with it, those of its class too. Pairs are
+    formed between classes only, so a group of copies costs one of them. A page without words is a class of its own.
+    """
+    sets = pages.select("id", word_set(F.col("text")).alias("w")).withColumn("k", F.when(F.size("w") > 0, set_key(F.col("w"))))
+    classes = sets.filter("k is not null").groupBy("k").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.first("w").alias("w"))
+    p = classes.select("k", "w")
+    sizes = classes.select("k", "class_id", "n")
+    links = set_pairs(p, p, least).join(sizes.select(F.col("k").alias("kb"), "n"), "kb").groupBy(F.col("ka").alias("k")).agg((F.sum("n") - 1).alias("links"))
+    out = sets.select("id", "k").join(sizes.drop("n").join(links, "k"), "k", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def greedy_match(scores: DataFrame, group: Sequence[str], a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
     """One-to-one assignment per group: the best remaining (score, a, b), falling, again and again."""
     schema = scores.schema
@@ -216,6 +248,76 @@ def best_candidates(scores: DataFrame, n: int = 5, least: float = 0.25) -> DataF
     return scores.filter(F.col("score") >= least).withColumn("i", i).filter(F.col("i") <= n).drop("i")
 
 
+#: Where the text of a page comes from, fixed values: the new edition, nowhere (a copy of a matched page), the old edition.
+NEW, COPY, OLD = "tesseract_reocr", "duplicate", "original"
+
+
+def edition_matches(old: DataFrame, new: DataFrame, least: float = 0.25, most: int = 5, reach: int = 3, same: float = 0.9, fewest: int = 20) -> DataFrame:
+    """volume, ord, page_id, leaf, score, source, duplicate_of: the leaf of a new edition that each page of the old one is.
+
+    ``old`` has volume, ord, page_id, number and text, ``new`` volume, leaf, printed and text. A page's candidates share
+    ``least`` of their words with it and stand within ``reach`` leaves of its printed number or of the leaf after the last page's
+    best one; without any, all leaves of the volume count. The ``most`` best are kept and taken one-to-one, the best score
+    first. A blank page takes the free leaf that follows from the matched page before it. An unmatched page of ``fewest``
+    words that shares ``same`` of them with a matched one is a duplicate of it, of the first of several.
+
+    Scores are computed for all volumes at once; only numbers of one volume meet in a task.
+    """
+    words = lambda: F.transform(word_set(F.col("text")), lambda w: F.concat_ws(" ", F.col("volume").cast("string"), w))
+    x = old.select(F.struct("volume", "ord").alias("a"), words().alias("wa"))
+    y = new.select(F.struct("volume", "leaf").alias("b"), words().alias("wb"))
+    shape = "kind string, ord long, leaf long, number long, score double, page_id string, blank boolean"
+    names = [c.split()[0] for c in shape.split(", ")]
+    nothing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in shape.split(", ")}
+    facts = lambda df, kind, **given: df.select(F.col("volume"), *(F.lit(kind).alias(c) if c == "kind" else given.get(c, nothing[c]).alias(c) for c in names))
+    long = lambda c: F.col(c).cast("long")
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"\S")
+    scores = set_overlaps(x, y, least).select("a.volume", "a.ord", "b.leaf", "score")
+    copies = set_overlaps(x.filter(F.size("wa") >= fewest), x.select(F.col("a").alias("b"), F.col("wa").alias("wb")), same).filter("a.ord <> b.ord").select("a.volume", "a.ord", F.col("b.ord").alias("leaf"))
+    all_ = facts(old, "page", ord=long("ord"), number=long("number"), page_id=F.col("page_id").cast("string"), blank=blank)
+    for part in (facts(new, "leaf", leaf=long("leaf"), number=long("printed")), facts(scores, "score", ord=long("ord"), leaf=long("leaf"), score=F.col("score")), facts(copies, "copy", ord=long("ord"), leaf=long("leaf"))):
+        all_ = all_.unionByName(part)
+    volume = old.schema["volume"].dataType.simpleString()
+
+    def match(part: pd.DataFrame) -> pd.DataFrame:
+        of = dict(tuple(part.groupby("kind")))
+        none = part.iloc[:0]
+        pages = of.get("page", none).sort_values("ord").reset_index(drop=True)
+        leaves, scores, copies = (of.get(kind, none) for kind in ("leaf", "score", "copy"))
+        by_number = {n: g.to_numpy() for n, g in leaves.dropna(subset=["number"]).groupby("number")["leaf"]}
+        by_page = {n: g.sort_values(["score", "leaf"], ascending=False) for n, g in scores.groupby("ord")}
+        chosen, follows = [none], np.array([])
+        for i, page in pages.iterrows():
+            found = by_page.get(page["ord"])
+            if found is None:
+                continue
+            spots = np.concatenate([by_number.get(page["number"], np.array([])), follows])
+            close = found[(np.abs(found["leaf"].to_numpy()[:, None] - spots[None, :]) <= reach).any(axis=1)]
+            best = (close if len(close) else found).head(most)
+            follows = best["leaf"].to_numpy()[:1] + 1
+            chosen.append(best.assign(ord=i))
+        leaf_of, score_of, free = {}, {}, set(leaves["leaf"])
+        for c in pd.concat(chosen).sort_values(["score", "ord", "leaf"], ascending=False).itertuples():
+            if c.ord not in leaf_of and c.leaf in free:
+                leaf_of[c.ord], score_of[c.ord] = c.leaf, c.score
+                free.discard(c.leaf)
+        shift = None
+        for i, page in pages.iterrows():
+            if i not in leaf_of and page["blank"] and shift is not None and shift + i in free:
+                leaf_of[i], score_of[i] = shift + i, 0.0
+                free.discard(shift + i)
+            shift = leaf_of[i] - i if i in leaf_of else shift
+        matched = set(pages["ord"][list(leaf_of)])
+        twins = copies[copies["leaf"].isin(matched) & ~copies["ord"].isin(matched)].groupby("ord")["leaf"].min()
+        twin_id = pages["ord"].map(twins).map(pages.set_index("ord")["page_id"])
+        position = pages.index.to_series()
+        out = pages.assign(leaf=position.map(leaf_of).astype("Int64"), score=position.map(score_of).fillna(0.0).astype(float), duplicate_of=twin_id.astype(object).where(twin_id.notna(), None))
+        out["source"] = np.where(out["leaf"].notna(), NEW, np.where(out["duplicate_of"].notna(), COPY, OLD))
+        return out[["volume", "ord", "page_id", "leaf", "score", "source", "duplicate_of"]]
+
+    return all_.groupBy("volume").applyInPandas(match, f"volume {volume}, ord long, page_id string, leaf long, score double, source string, duplicate_of string")
+
+
 def editions_compared(old: DataFrame, new: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Measures of pages with one printed number in both editions, side by side; the first page of a number counts."""
     from inkwell.operators.linking import first_per

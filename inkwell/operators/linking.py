@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import clean_form, folded, normalized_phrase
+
 
 def segment_ranges(segments: DataFrame, page: str = "page_id", start: str = "char_start", order: str = "ord") -> DataFrame:
     """Segments with the half-open range of places they answer for: the first one of a page also those before it."""
@@ -123,6 +125,54 @@ def frequent(rows: DataFrame, key: str, form: str, least: int, most_forms: int =
     return groups.filter(F.col("n") >= least).select("key", "n", F.transform("f", lambda x: x["form"]).alias("forms"))
 
 
+def linked_people(people: DataFrame, titled: DataFrame) -> DataFrame:
+    """Mentions of people, resolved and titled ones together: mention_id, page_id, span_start, span_end, person, method.
+
+    ``people`` has ord, person and method; the first of a span counts. ``titled`` has person and rule instead. It is
+    left out where a resolved mention overlaps it: one of its person, or any if it has none.
+    """
+    columns = ["mention_id", "page_id", "span_start", "span_end", "person", "method"]
+    once = first_per(people, ["page_id", "span_start", "span_end"], ["ord"]).select(*columns)
+    known = once.filter("person is not null").select(F.col("page_id").alias("_p"), F.col("span_start").alias("_a"), F.col("span_end").alias("_b"), F.col("person").alias("_known"))
+    hit = (F.col("page_id") == F.col("_p")) & (F.col("_a") < F.col("span_end")) & (F.col("span_start") < F.col("_b"))
+    free = titled.join(known, hit & (F.col("person").isNull() | (F.col("person") == F.col("_known"))), "left_anti")
+    method = F.when(F.col("person").isNull(), "unresolved_title").otherwise(F.concat(F.lit("territorial_title:"), F.col("rule")))
+    return once.unionByName(free.withColumn("method", method).select(*columns))
+
+
+def extension_log(occurrences: DataFrame, aliases: DataFrame, decided: DataFrame, skipped: DataFrame, least: int, most_forms: int = 8) -> DataFrame:
+    """What frequent names add to a dictionary: rank, key, name, n, action, person, added (spellings), basis.
+
+    ``occurrences`` has name and span, ``aliases`` and ``skipped`` person and alias (a person's own name is an alias too),
+    ``decided`` key, action, person (null for excluded keys) and basis. A key that nobody decided on is a
+    matched_existing_alias of one person, an ambiguous_alias of several, or unreviewed. A person gets the ``most_forms``
+    most frequent spellings of a key, each once, unless known or skipped. Ranks fall with n, ties by key.
+    """
+    seen = occurrences.select(normalized_phrase(F.col("name")).alias("key"), clean_form(F.col("name")).alias("name"), clean_form(F.col("span")).alias("span")).filter("key <> ''")
+    both = F.explode(F.array(F.struct(F.col("name").alias("form"), F.lit(1).alias("own")), F.struct(F.col("span").alias("form"), F.lit(0).alias("own"))))
+    forms = seen.select("key", both.alias("f")).groupBy("key", "f.form").agg(F.count("*").alias("c"), F.sum("f.own").alias("own"))
+    w = Window.partitionBy("key")
+    ranked = forms.withColumn("n", F.sum("own").over(w)).withColumn("name", F.first("form").over(w.orderBy(F.desc("own"), "form"))).withColumn("i", F.row_number().over(w.orderBy(F.desc("c"), "form")))
+    top = ranked.filter((F.col("n") >= least) & (F.col("i") <= most_forms))
+    groups = top.groupBy("key").agg(F.first("n").alias("n"), F.first("name").alias("name"), F.array_sort(F.collect_list(F.struct("i", "form"))).alias("forms"))
+    groups = with_ids(groups.withColumn("_o", F.concat(F.lpad((F.lit(10**15) - F.col("n")).cast("string"), 16, "0"), F.col("key"))), "_o", "rank").drop("_o")
+    people = alias_index(aliases.select("person", normalized_phrase(F.col("alias")).alias("key")).filter("key <> ''"))
+    mine = decided.select("key", F.col("action").alias("_action"), F.col("person").alias("_person"), F.col("basis").alias("_basis"))
+    t = groups.join(people, "key", "left").join(mine, "key", "left")
+    found = F.when(F.size("people") == 1, "matched_existing_alias").when(F.size("people") > 1, "ambiguous_alias").otherwise("unreviewed")
+    t = t.withColumn("action", F.coalesce("_action", found))
+    t = t.withColumn("person", F.when(F.col("_action").isNotNull(), F.col("_person")).when(F.col("action") == "matched_existing_alias", F.get("people", F.lit(0))))
+    several = F.when(F.col("action") == "ambiguous_alias", F.concat(F.lit("Matches aliases of: "), F.array_join("people", "; ")))
+    t = t.withColumn("basis", F.when(F.col("_action").isNotNull(), F.col("_basis")).otherwise(several)).drop("people", "_action", "_person", "_basis")
+    fold = lambda df: df.select("person", folded(clean_form(F.col("alias"))).alias("_f")).distinct()
+    new = t.filter("person is not null").select("person", "key", "rank", F.explode("forms").alias("f")).select("person", "key", "rank", "f.i", "f.form", folded(F.col("f.form")).alias("_f"))
+    new = new.filter("form <> ''").join(fold(aliases.unionByName(skipped.select(*aliases.columns))), ["person", "_f"], "left_anti")
+    new = first_per(new, ["person", "_f"], ["rank", "i"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "form"))).alias("_new"))
+    out = t.drop("forms").join(new, "key", "left")
+    added = F.coalesce(F.transform("_new", lambda x: x["form"]), F.array().cast("array<string>"))
+    return out.select("rank", "key", "name", "n", "action", "person", added.alias("added"), "basis")
+
+
 def reasons(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Adds ``reason``: the first rule that holds, or null where the row is kept."""
     case = reduce(lambda c, kv: c.when(kv[1], kv[0]), rules.items(), F.when(F.lit(False), ""))

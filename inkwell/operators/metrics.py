@@ -118,3 +118,27 @@ def frames(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     inside = F.expr("lon between west and east and lat between south and north")
     return points.join(F.broadcast(boxes), inside).groupBy(*points.columns).agg(F.min_by("frame", "ord").alias("frame"))
+
+
+#: How strongly a person is tied to a place, fixed values: a stated relation, else the proximity class.
+TIERS = {"relation": 4, "close": 3, "near": 2, "same_meeting": 1}
+
+
+def map_links(located: DataFrame, found: DataFrame) -> DataFrame:
+    """target, person, year, tier: each year's strongest tier of located targets (id).
+
+    ``found`` has target, person, start, end, proximity and relations. Rows without a date or a proximity class are left
+    out. The year is that of the middle of the dates.
+    """
+    level = F.element_at(F.create_map(*(F.lit(x) for kv in TIERS.items() for x in kv)), F.col("proximity"))
+    tier = F.when(F.coalesce("relations", F.lit("")) != "", TIERS["relation"]).otherwise(level)
+    rows = found.filter(F.col("proximity").isin(list(TIERS)) & F.col("start").isNotNull())
+    rows = rows.select("target", "person", F.year(midpoint(F.col("start"), F.col("end"))).alias("year"), tier.alias("tier"))
+    best = rows.groupBy("target", "person", "year").agg(F.max("tier").alias("tier"))
+    return best.join(located.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+
+
+def map_mentions(located: DataFrame, mentions: DataFrame) -> DataFrame:
+    """target, year, n: dated mentions (target, start, end) of located targets by the year of the middle of their dates."""
+    rows = mentions.filter("start is not null").select("target", F.year(midpoint(F.col("start"), F.col("end"))).alias("year"))
+    return rows.groupBy("target", "year").agg(F.count("*").alias("n")).join(located.select(F.col("id").alias("target")).distinct(), "target", "left_semi")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, lookups, reviews, texts
+from . import counts, editions, lookups, reviews, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (counts, lookups, texts, reviews):
+for _module in (counts, lookups, texts, reviews, editions):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -184,7 +184,14 @@ def head_gap_fill(spark: SparkSession, d: str) -> DataFrame:
     return S.fill_gaps(t, ["user_id"], "ord").select("user_id", "event_id", "start", "end", "source", "confidence")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HEADS}, s AS MATERIALIZED (SELECT user_id, event_id, ord, CAST(CASE WHEN event_id % 7 = 0 THEN start - INTERVAL 12 MONTH ELSE start END AS DATE) AS d FROM e),
+n AS MATERIALIZED (SELECT *, CASE WHEN month(d) = 2 AND day(d) = 29 THEN NULL ELSE CAST(d + INTERVAL 1 YEAR AS DATE) END AS m FROM s),
+g AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS ord, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DATE) AS start, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS DATE) AS latest FROM s
+  UNION ALL SELECT user_id, ord, event_id, v, kind, greatest(latest, v) FROM (
+    SELECT n.user_id, n.ord, n.event_id, g.latest, CASE WHEN d < g.latest - 30 AND m BETWEEN g.latest - 30 AND g.latest + 120 THEN m ELSE d END AS v,
+           CASE WHEN d < g.latest - 30 AND m BETWEEN g.latest - 30 AND g.latest + 120 THEN CASE WHEN month(d) * 100 + day(d) <= 324 THEN 'old_style' ELSE 'year_fixed' END END AS kind
+    FROM g JOIN n ON n.user_id = g.user_id AND n.ord = g.ord + 1))
+SELECT user_id, event_id, start, start AS "end", kind FROM g WHERE ord > 0""")
 def step_back(spark: SparkSession, d: str) -> DataFrame:
     t = heads(spark, d).withColumn("start", F.when(F.col("event_id") % 7 == 0, F.add_months("start", -12)).otherwise(F.col("start"))).withColumn("end", F.col("start"))
     return S.step_back(t, ["user_id"], "ord").select("user_id", "event_id", "start", "end", "kind")

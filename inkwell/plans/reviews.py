@@ -49,7 +49,20 @@ def name_candidates(spark: SparkSession, d: str) -> DataFrame:
     return first_per(hits.withColumn("o", -F.col("i")), ["doc_id"], ["o"]).select("doc_id", F.col("span").alias("name"))
 
 
-@query()
+PAIR = r"\p{Lu}[\p{L}’']+\s+(?:\p{Lu}|ff)[\p{L}’']+"
+TITLED = rf"(?i:\b(?:sir|captain|master|lady))[.:]?\s+{PAIR}"
+
+
+def places(pattern: str, name: str) -> str:
+    """CTE of doc_id, span, start and end of a pattern's places."""
+    q = pattern.replace("'", "''")
+    return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{q}') AS m, string_split_regex(text, '{q}') AS g FROM documents),
+{name}_x AS (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}_m),
+{name} AS (SELECT doc_id, m[i] AS span, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS e FROM {name}_x)"""
+
+
+@query(f"""WITH {places(PAIR, "b")}, {places(TITLED, "t")}, r AS (SELECT b.doc_id, b.span AS name, b.e - length(b.span) AS start, t.e IS NOT NULL AS titled FROM b LEFT JOIN t ON b.doc_id = t.doc_id AND b.e = t.e)
+SELECT doc_id, name, CAST(start AS INTEGER) AS start, titled FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY titled DESC, start DESC) AS i FROM r) WHERE i = 1""")
 def titled_names(spark: SparkSession, d: str) -> DataFrame:
     return V.name_candidates(table(spark, d, "documents"), "doc_id", "text", "sir|captain|master|lady")
 
@@ -77,11 +90,29 @@ def peak_records(spark: SparkSession, d: str) -> DataFrame:
     return V.breakdown(table(spark, d, "documents"), "lang", "source", "source", "text", {"number": "[0-9]"})["records"]
 
 
-@query()
+WORDS = """f AS (SELECT lang, translate(word, 'vj', 'ui') AS key, word, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM (SELECT DISTINCT lang, source, text FROM documents)) GROUP BY ALL),
+c AS (SELECT lang, key, sum(c) AS n, arg_min(word, (-c, word)) AS word FROM f GROUP BY lang, key),
+t AS (SELECT lang, key, word, CAST(n AS BIGINT) AS n, sum(n) OVER (PARTITION BY key) AS a, sum(n) OVER (PARTITION BY lang) AS s, sum(n) OVER () AS t FROM c),
+p AS (SELECT *, CAST(500 AS DOUBLE) * a / t AS p, a - n AS o, t - s AS r FROM t WHERE n >= 3),
+z AS (SELECT *, (ln((n + p) / (s + 500 - n - p)) - ln((o + p) / (r + 500 - o - p))) / sqrt(1 / (n + p) + 1 / (o + p)) AS z FROM p)"""
+
+
+@query(f"""WITH {WORDS} SELECT lang, word, n, round(z, 1) AS z FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(z, 6) DESC, key) AS i FROM z WHERE z > 1.96) WHERE i <= 12""")
 def peak_words(spark: SparkSession, d: str) -> DataFrame:
     return V.breakdown(table(spark, d, "documents"), "lang", "source", "source", "text", {"number": "[0-9]"})["words"]
 
 
+@query("SELECT lang, count(*) AS total, CAST(greatest(0, count(DISTINCT source) - 2) AS BIGINT) AS more_records FROM documents GROUP BY lang")
+def peak_totals(spark: SparkSession, d: str) -> DataFrame:
+    return V.breakdown(table(spark, d, "documents"), "lang", "source", "source", "text", {"number": "[0-9]"}, records=2)["more_records"]
+
+
+@query(r"""WITH c AS (SELECT lang, source, count(*) AS n, arg_min(text, doc_id) AS text FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS i, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM c)
+SELECT lang, source, n, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(left(t, 240), ' [^ ]*$', '') || ' …' END AS text FROM r WHERE i <= 3""")
+def peak_examples(spark: SparkSession, d: str) -> DataFrame:
+    return V.examples(table(spark, d, "documents"), "lang", "source", "text", "doc_id")
+
+
 @query()
 def record_titles(spark: SparkSession, d: str) -> DataFrame:
     rows = [("CCLXXX. COUNCIL IN VIRGINIA. LETTER TO THE COMPANY JANUARY 20, 1622 Manuscript Records",), ("I. SIR THOMAS GATES. A COMMISSION 1609 Document in the Library",), ("Short",)]

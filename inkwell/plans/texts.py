@@ -99,7 +99,13 @@ def dict_spans(spark: SparkSession, d: str) -> DataFrame:
     return P.dictionary_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark))
 
 
-@query()
+@query(f"""WITH h AS ({SQL["dict_spans"]}), i AS (SELECT *, sum(CASE WHEN start >= reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label ORDER BY start, "end" DESC) AS island FROM (SELECT *, max("end") OVER (PARTITION BY doc_id, label ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h)),
+q AS (SELECT doc_id, label, island, list(struct_pack(n := "end" - start, s := start, label := label, entity := entity, priority := priority) ORDER BY start, "end" DESC) AS vs FROM i GROUP BY ALL),
+l AS (SELECT doc_id, unnest(list_reduce(list_transform(vs, lambda z: [z]), lambda x, z: CASE WHEN x[-1].s + x[-1].n <= z[1].s THEN list_concat(x, z) ELSE x END)) AS v FROM q),
+c AS (SELECT doc_id, v, sum(CASE WHEN v.s >= reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY v.s, v.n, v.label) AS island FROM (SELECT *, max(v.s + v.n) OVER (PARTITION BY doc_id ORDER BY v.s, v.n, v.label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l)),
+k AS (SELECT doc_id, island, list(v ORDER BY v.n DESC, v.priority, v.s, v.label) AS vs FROM c GROUP BY ALL),
+r AS (SELECT doc_id, unnest(list_reduce(list_transform(vs, lambda z: [z]), lambda x, w: CASE WHEN len(list_filter(x, lambda y: y.s < w[1].s + w[1].n AND w[1].s < y.s + y.n)) = 0 THEN list_concat(x, w) ELSE x END)) AS v FROM k)
+SELECT doc_id, v.s AS start, v.s + v.n AS "end", v.label AS label, v.entity AS entity, v.priority AS priority FROM r""")
 def dict_spans_packed(spark: SparkSession, d: str) -> DataFrame:
     return P.authority_spans(table(spark, d, "documents"), "text", ["doc_id"], dictionary(spark))
 
@@ -398,16 +404,24 @@ def page_overlap(spark: SparkSession, d: str) -> DataFrame:
     return L.page_overlaps(docs, docs, near)
 
 
-@query("""WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}'))) AS w FROM documents),
+NEAR = """d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}'))) AS w FROM documents),
 n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, k / least(p.n, q.n) AS score FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k / least(p.n, q.n) >= 0.9""")
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL)"""
+PAIRS = """SELECT a, b, k / least(p.n, q.n) AS score FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k / least(p.n, q.n) >= 0.9"""
+
+
+@query(f"WITH {NEAR} {PAIRS}")
 def near_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return L.page_overlaps(docs, docs, least=0.9).filter("a < b")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEAR}, p AS ({PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS i FROM p),
+o AS MATERIALIZED (SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a DESC, b DESC) AS i FROM k WHERE i <= 5),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS score, false AS free, CAST([] AS BIGINT[]) AS x, CAST([] AS BIGINT[]) AS y
+  UNION ALL SELECT i, a, b, score, free, CASE WHEN free THEN list_append(x, a) ELSE x END, CASE WHEN free THEN list_append(y, b) ELSE y END
+  FROM (SELECT o.i, o.a, o.b, o.score, NOT list_contains(x, o.a) AND NOT list_contains(y, o.b) AS free, x, y FROM g JOIN o ON o.i = g.i + 1))
+SELECT a, b, score FROM g WHERE free""")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return L.greedy_match(L.best_candidates(near_pages(spark, d)).withColumn("g", F.lit(1)), ["g"]).drop("g")
 

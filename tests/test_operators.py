@@ -332,3 +332,83 @@ def test_pages_without_a_volume_are_dated(spark):
 
     pages = spark.createDataFrame([("a", None, 1, "JULY 9, 1620 1"), ("b", 9, 1, "JULY 9, 1621 1")], "page_id string, volume int, ord long, text string")
     assert {(r.page_id, r.start) for r in S.date_pages(pages).collect()} == {("a", date(1620, 7, 9)), ("b", date(1621, 7, 9))}
+
+
+def test_near_page_classes_equal_brute_force(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=r.choice([3, 12, 30]))) for _ in range(25)]
+    texts += [t + " newword" for t in texts[:10]] + ["copies of the largest group here"] * 20 + ["", "a b", None]
+    sets = [frozenset(re.findall("[a-z]{4,}", (t or "").lower())) for t in texts]
+    near = lambda a, b: a and b and len(a & b) >= 0.9 * min(len(a), len(b))
+    want = {(i, min(j for j, t in enumerate(sets) if t == s) if s else i, sum(1 for j, t in enumerate(sets) if j != i and near(s, t))) for i, s in enumerate(sets)}
+    pages = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {tuple(x) for x in L.near_page_classes(pages).collect()} == want
+    assert L.near_page_classes(pages.limit(0)).collect() == []
+
+
+def brute_editions(old, new):
+    """One volume by the words of the docstring: {ord: (leaf, score, source, duplicate_of)}; rows are (ord, page_id, number, text) and (leaf, printed, text)."""
+    words = lambda t: set(re.findall("[a-z]{4,}", (t or "").lower()))
+    share = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0.0
+    leaves, claims, last = {x[0]: words(x[2]) for x in new}, [], None
+    for i, (_, _, number, text) in enumerate(old):
+        spots = [x[0] for x in new if number is not None and x[1] == number] + ([last + 1] if last is not None else [])
+        rank = lambda some: sorted(((share(words(text), leaves[x]), x) for x in some), reverse=True)[:5]  # noqa: B023, E731
+        best = rank([x for x in leaves if any(abs(x - s) <= 3 for s in spots)])
+        if not best or best[0][0] < 0.25:
+            best = rank(leaves)
+        claims += [(s, i, x) for s, x in best if s >= 0.25]
+        last = best[0][1] if best and best[0][0] >= 0.25 else last
+    got = {}
+    for s, i, x in sorted(claims, reverse=True):
+        if i not in got and x not in [y for y, _ in got.values()]:
+            got[i] = (x, s)
+    for i, row in enumerate(old):
+        before = [j for j in range(i) if j in got]
+        if i not in got and before and not (row[3] or "").strip():
+            x = got[before[-1]][0] + i - before[-1]
+            if x in leaves and x not in [y for y, _ in got.values()]:
+                got[i] = (x, 0.0)
+    out = {}
+    for i, row in enumerate(old):
+        twins = [old[j][1] for j in sorted(got) if len(words(row[3])) >= 20 and share(words(row[3]), words(old[j][3])) >= 0.9]
+        if i in got:
+            out[row[0]] = (got[i][0], round(got[i][1], 9), "tesseract_reocr", None)
+        else:
+            out[row[0]] = (None, 0.0, "duplicate" if twins else "original", twins[0] if twins else None)
+    return out
+
+
+def test_editions_equal_brute_force(spark):
+    r = random.Random(3)
+    olds, news, want = [], [], {}
+    for volume in range(6):
+        vocabulary = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+        texts = [" ".join(r.choices(vocabulary, k=r.choice([6, 40, 60]))) for _ in range(14)]
+        old = [(i, f"{volume}-{i}", r.choice([None, i + 1, i + 1, 7]), "" if r.random() < 0.15 else t) for i, t in enumerate(texts)]
+        old += [(20 + i, f"{volume}-{20 + i}", None, t) for i, t in enumerate(r.sample(texts, 3))] + [(30, f"{volume}-30", None, None)]
+        new = [(i + 4, r.choice([None, i + 1]), " ".join(w for w in t.split() if r.random() < 0.8)) for i, t in enumerate(texts) if r.random() < 0.85] + [(2, None, "")]
+        want |= {(volume, k): v for k, v in brute_editions(old, new).items()}
+        olds += [(volume, *x) for x in old]
+        news += [(volume, *x) for x in new]
+    a = spark.createDataFrame(olds, "volume int, ord int, page_id string, number int, text string")
+    b = spark.createDataFrame(news, "volume int, leaf int, printed int, text string")
+    got = {(x.volume, x.ord): (x.leaf, round(x.score, 9), x.source, x.duplicate_of) for x in L.edition_matches(a, b).collect()}
+    assert got == want
+    assert {x[2] for x in want.values()} == {"tesseract_reocr", "duplicate", "original"} and any(x[0] and not x[1] for x in want.values())
+    assert {x.source for x in L.edition_matches(a, b.limit(0)).collect()} == {"original"} and L.edition_matches(a.limit(0), b).count() == 0
+
+
+def test_names_aliases_and_words_of_names(spark):
+    from inkwell.operators import review as W
+
+    assert column(spark, " §Iohn ||  Smith, ", X.clean_form) == "Iohn Smith" and column(spark, "Lord  Bishop.;", X.clean_alias) == "Lord Bishop"
+    name = lambda c: X.name_of(F.lit(None), c, r"captain|capt\.?|mr\.?")
+    assert column(spark, "Capt. Iohn  Smith", name) == "Iohn Smith" and column(spark, "mr Wrote", name) == "mr Wrote"
+    rows = spark.createDataFrame([("1622a", "r1", "n", "Opechancanough", "then opochancano came with corne corne corne", 1), ("1622a", "r1", "n", "Opechancanough", "corne", 2), ("1622b", None, "n", None, None, 3)], "b string, r string, who string, s string, t string, o int")
+    assert {x.word for x in W.name_words(rows, "s", "t").collect()} == {"opechancanough", "opochancano"}
+    assert [tuple(x) for x in W.examples(rows, "b", "r", "t", "o").collect()] == [("1622a", "r1", 2, "then opochancano came with corne corne corne")]
+    parts = W.breakdown(rows, "b", "r", "who", "t", {"corn": "corne"}, records=0, span="s")
+    assert {(x.b, x.total, x.more_records) for x in parts["more_records"].collect()} == {("1622a", 2, 1), ("1622b", 1, 0)}
+    assert "opochancano" not in {x.word for x in parts["words"].collect()}
