@@ -412,3 +412,12 @@ def test_names_aliases_and_words_of_names(spark):
     parts = W.breakdown(rows, "b", "r", "who", "t", {"corn": "corne"}, records=0, span="s")
     assert {(x.b, x.total, x.more_records) for x in parts["more_records"].collect()} == {("1622a", 2, 1), ("1622b", 1, 0)}
     assert "opochancano" not in {x.word for x in parts["words"].collect()}
+
+
+def test_skeleton_equals_duckdb_on_odd_words(spark, tmp_path):
+    words = "cca ccac ccca accord aterstkccl rqsxyccwq cck ccq cc c ckca acquaccies ieies ces İstanbul aİccord \u212aelvin ſcca ccos, CCLN".split()
+    spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r.word, r.skeleton) for r in catalogue.QUERIES["skeleton"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.sql(catalogue.SQL["skeleton"]).fetchall()) and ("cca", "ka") in got
