@@ -55,12 +55,13 @@ SELECT m.mention_id, coalesce(role, 'record') AS page_role, coalesce(kind, '') A
        coalesce(role, 'record') = 'record' AND (coalesce(kind, '') = '' OR kind = 'document_heading') AS usable
 FROM m LEFT JOIN k USING (mention_id) LEFT JOIN r USING (page_id)""")
 def usable_mentions(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").filter("l_discount >= 0.05")
+    # Lines of an order may share a number; the last one of them in the file counts, as in DuckDB with one thread.
+    line = table(spark, d, "lineitem").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("row")).filter("l_discount >= 0.05")
     n = F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "R", "running_head").otherwise("document_heading")
-    editorial = line.select(F.col("l_orderkey").alias("page_id"), n.alias("char_start"), (n + 2).alias("char_end"), kind.alias("kind"), n.alias("ord"))
+    editorial = line.select(F.col("l_orderkey").alias("page_id"), n.alias("char_start"), (n + 2).alias("char_end"), kind.alias("kind"), n.alias("ord"), "row")
     roles = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("page_id"), F.lit("index").alias("role"))
-    return K.usable(mentions(spark, d), roles, editorial, ["document_heading"]).select("mention_id", "page_role", "editorial_span", "usable")
+    return K.usable(mentions(spark, d), roles, editorial, ["document_heading"], last="row").select("mention_id", "page_role", "editorial_span", "usable")
 
 
 ALIASES = "('A', 'almond'), ('B', 'almond'), ('C', 'antique'), ('D', 'blue'), ('E', 'green'), ('F', 'green'), ('G', 'red'), ('H', 'part 1'), ('I', 'part 2'), ('J', 'part 3'), ('K', 'part 3')"

@@ -5,6 +5,7 @@ import struct
 from datetime import date
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,3 +422,19 @@ def test_skeleton_equals_duckdb_on_odd_words(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted((r.word, r.skeleton) for r in catalogue.QUERIES["skeleton"](spark, str(tmp_path)).collect())
     assert got == sorted(c.sql(catalogue.SQL["skeleton"]).fetchall()) and ("cca", "ka") in got
+
+
+def test_usable_mentions_of_equal_lines_take_the_last_in_the_file(spark, tmp_path):
+    r = random.Random(3)
+    lines = [(r.randrange(1500), r.randint(1, 3), r.choice("RNA"), r.choice([0.01, 0.05, 0.07])) for _ in range(9000)]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i, part in enumerate((lines[:1500], lines[1500:])):
+        pd.DataFrame(part, columns=["l_orderkey", "l_linenumber", "l_returnflag", "l_discount"]).astype({"l_linenumber": "int32"}).to_parquet(f"{tmp_path}/lineitem.parquet/part-{i}.parquet")
+    spark.createDataFrame([(i, "PO"[i % 2]) for i in range(1500)], "o_orderkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    kinds = {}
+    for k, n, f, discount in lines:
+        if discount >= 0.05:
+            kinds[k, n] = "running_head" if f == "R" else "document_heading"
+    want = sorted((k * 10 + n, kinds.get((k, n - 1), kinds.get((k, n), ""))) for k, n, _, _ in lines)
+    got = catalogue.QUERIES["usable_mentions"](spark, str(tmp_path)).collect()
+    assert sorted((x.mention_id, x.editorial_span) for x in got) == want
