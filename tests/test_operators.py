@@ -7,6 +7,7 @@ from datetime import date
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
@@ -438,3 +439,64 @@ def test_usable_mentions_of_equal_lines_take_the_last_in_the_file(spark, tmp_pat
     want = sorted((k * 10 + n, kinds.get((k, n - 1), kinds.get((k, n), ""))) for k, n, _, _ in lines)
     got = catalogue.QUERIES["usable_mentions"](spark, str(tmp_path)).collect()
     assert sorted((x.mention_id, x.editorial_span) for x in got) == want
+
+
+def most_joined(df):
+    """Rows out of the largest join of a collected query."""
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(p.plan())
+        own = p.metrics().get("numOutputRows")
+        kids = p.children()
+        return max([own.get().value() if "Join" in name and own.isDefined() else 0, *(walk(kids.apply(i)) for i in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_suggested_people_form_no_pairs(spark):
+    from inkwell.operators import review as V
+
+    r = random.Random(4)
+    some = lambda *values: r.choice([*values, None])
+    names = [(i // 2 if i < 20 else i, some("Ann", "Bob", "", "Cay"), some("holt", "gora", "lamo"), some(1600, 1601, 1605), r.randrange(9)) for i in range(1500)]
+    people = [(r.randrange(10**6), some("ann", "Bob", ""), some("gora", "holt", "fimo"), a := some(1600, 1602), None if a is None else a + r.randrange(3)) for _ in range(1500)]
+    n = spark.createDataFrame(names, "name long, given string, surname string, year int, n int")
+    p = spark.createDataFrame(people, "person long, given string, surname string, first_year int, last_year int")
+    context = spark.createDataFrame([(i, 7) for i in range(0, 1500, 10)], "name long, person long")
+    df = V.suggestions(n, p, context, ["holt"], 4)
+    got = sorted(map(repr, df.collect()))
+    assert most_joined(df) < 20_000
+    alive = lambda y, a, b: True if y is None else False if (a is not None and y < a) or (b is not None and y > b) else True
+    facts = {}
+    for name, given, surname, year, _ in names:
+        met = [x for x in people if surname is not None and x[2] == surname]
+        living = [x for x in met if alive(year, x[3], x[4])]
+        same = [x[0] for x in living if given is not None and x[1] is not None and x[1].lower() == given.lower()]
+        f = facts.setdefault(name, [0, 0, [], []])
+        f[0], f[1] = f[0] + len(met), f[1] + len(living)
+        f[2] += same
+        f[3] += [x[0] for x in living]
+    want = []
+    for name, given, surname, _, times in names:
+        met, living, same, by = facts[name]
+        kind, who = "unknown", None
+        if surname == "holt":
+            kind = "not_a_name"
+        elif met and not living:
+            kind = "date_conflict"
+        elif len(same) == 1:
+            kind, who = "given_and_surname", min(same)
+        elif living == 1 and given == "":
+            kind, who = "only_person_with_surname", min(by)
+        elif name % 10 == 0:
+            kind, who = "context", 7
+        elif living > 1:
+            kind = "ambiguous"
+        elif given and times >= 4:
+            kind = "new_person"
+        want.append(repr(Row(name=name, kind=kind, person=who)))
+    assert got == sorted(want)
