@@ -500,3 +500,11 @@ def test_suggested_people_form_no_pairs(spark):
             kind = "new_person"
         want.append(repr(Row(name=name, kind=kind, person=who)))
     assert got == sorted(want)
+
+
+def test_near_page_classes_compare_few_sets_that_meet_by_chance(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(120)]
+    texts = [" ".join(r.sample(vocabulary, 12)) for _ in range(400)]
+    df = L.near_page_classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert len(df.collect()) == 400 and most_joined(df) < 5000
