@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from inkwell.llm import exact, simhash, substring
+from inkwell.llm import common, exact, simhash, substring
 from inkwell.llm.common import components, hot_keys, join_hot
 
 from . import cases
@@ -119,6 +119,25 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(300)} == {1000}
 
 
+def test_components_of_few_edges_take_two_jobs_and_equal_the_rounds(spark, monkeypatch):
+    r = random.Random(4)
+    edges = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(180)] + [(None, 1), (3, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    written = []
+    monkeypatch.setattr(common, "staged", lambda t, name, f=common.staged: written.append(name) or f(t, name))
+    few = {tuple(x) for x in components(df).collect()}
+    assert written == ["edges", "roots"]
+    assert few == {tuple(x) for x in components(df, small=0).collect()} and len(few) > 100
+    assert components(df.limit(0)).collect() == []
+
+
+def test_a_grown_heap_of_the_driver_is_collected_before_a_table_is_staged(spark, monkeypatch):
+    monkeypatch.setattr(common, "GROWN", 0.0)
+    done = []
+    monkeypatch.setattr(common, "settled", lambda s, f=common.settled: done.append(f(s)))
+    assert common.staged(spark.range(3), "t").count() == 3 and done == [True]
+
+
 def test_hot_keys_never_miss_and_join_hot_is_a_left_join(spark):
     left = spark.createDataFrame([(i % 50 if i % 3 else 7, i) for i in range(900)] + [(None, -1)], "k int, v int").repartition(7)
     right = spark.createDataFrame([(i, f"n{i}") for i in range(0, 50, 2)] + [(7, "n7")], "k int, name string")
