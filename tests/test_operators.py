@@ -508,3 +508,25 @@ def test_near_page_classes_compare_few_sets_that_meet_by_chance(spark):
     texts = [" ".join(r.sample(vocabulary, 12)) for _ in range(400)]
     df = L.near_page_classes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
     assert len(df.collect()) == 400 and most_joined(df) < 5000
+
+
+@pytest.mark.parametrize("sent", [L.SENT, 40])
+def test_near_pages_read_texts_only_where_lists_do_not_tell_the_score(spark, monkeypatch, sent):
+    from inkwell.llm import common
+
+    r = random.Random(3)
+    vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(40)]
+    texts = [" ".join(vocabulary[i : i + 2]) for i in range(0, 20, 2)] + [" ".join(r.sample(vocabulary, 30)) for _ in range(60)]
+    texts += [t.replace(t.split()[5], "other" + t.split()[5]) for t in texts[10:20]]
+    sets = [set(t.split()) for t in texts]
+    pages = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    kept = []
+    monkeypatch.setattr(L, "SENT", sent)
+    monkeypatch.setattr(common, "staged", lambda t, name, f=common.staged: kept.append((name, f(t, name))) or kept[-1][1])
+    monkeypatch.setattr(common, "remove", lambda path: None)
+    got = {(x.a, x.b): x.score for x in L.near_page_pairs(pages).collect()}
+    share = lambda a, b: len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b]))
+    assert got == {(a, b): share(a, b) for b in range(len(texts)) for a in range(b) if share(a, b) >= 0.9} and min(got.values()) < 1
+    names = [name for name, _ in kept]
+    assert names.count("pages") == 1 and (names.count("met") > 1) == (sent == 40)
+    assert sum(df.filter("score is not null").count() for name, df in kept if name == "met") > 10
