@@ -502,6 +502,92 @@ def test_suggested_people_form_no_pairs(spark):
     assert got == sorted(want)
 
 
+def test_suggestions_match_surnames_that_are_close_and_all_of_a_given_name_nobody_has(spark):
+    from inkwell.operators import review as V
+
+    names = [(1, "", "Dauers", 1620, 1), (2, "John", "Shippard", 1620, 1), (3, "", "Farrar", 1640, 1), (4, "", "Farrar", 1622, 1), (5, "Ann", "Ab", 1622, 9), (6, "Ann", "Rolfe", 1622, 9)]
+    people = [(11, "ann", "Danvers", 1619, 1621), (12, "mary", "Sheppard", 1619, 1621), (13, "bob", "ffarrar", 1619, 1620)]
+    n = spark.createDataFrame(names, "name long, given string, surname string, year int, n int")
+    p = spark.createDataFrame(people, "person long, given string, surname string, first_year int, last_year int")
+    context = spark.createDataFrame([], "name long, person long")
+    got = {x.name: (x.kind, x.person) for x in V.suggestions(n, p, context, ["holt"], 4).collect()}
+    assert got == {
+        1: ("only_person_with_surname", 11), 2: ("given_and_surname", 12), 3: ("date_conflict", None),
+        4: ("only_person_with_surname", 13), 5: ("skip", None), 6: ("new_person", None),
+    }
+
+
+def test_suggestions_equal_the_method_name_by_name(spark):
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    from inkwell.operators import review as V
+
+    r = random.Random(6)
+    words = "danvers dauers farrar ffarrar sheppard shippard newport nuport holt ab gizmo gizmow gismow wolsey wolsie wolsye bull kupo kupou".split()
+    shapes = {x.w: x.s for x in spark.createDataFrame([(w,) for w in words], "w string").select("w", X.surname_shape(F.col("w")).alias("s")).collect()}
+    one = lambda a, b: a == b or (min(len(a), len(b)) >= 4 and SequenceMatcher(None, a, b).ratio() >= 0.82)
+    some = lambda *values: r.choice([*values, None])
+    rows, names = [], {}
+    for i in range(160):
+        names[i] = (some("", "", "Ann", "bob", "cay"), some(*words, *words), r.randrange(9), [some(1600, 1604, 1609) for _ in range(r.randint(1, 3))])
+        rows += [(i, *names[i][:2], y, names[i][2]) for y in names[i][3]]
+    people = [(100 + i // 2 * (i % 3 > 0) + 50 * (i % 3 == 0), some("ann", "Bob", ""), words[i], a := 1600 if i % 3 else some(1600, 1604), None if a is None else a + r.randrange(3)) for i in range(8)]
+    seen = [(r.randrange(160), r.randrange(30)) for _ in range(4000)]
+    met = [(x[0], r.randrange(30)) for x in people for _ in range(r.choice([1, 2, 30]))]
+    named = [(r.choice(["", "Ann", "bob"]), w, r.randrange(1, 4)) for w in words[10:16] for _ in range(3)]
+    written = [(r.choice(["Ann", "bob"]), w.upper(), r.randrange(1, 4)) for w in words[12:17]]
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    got = V.suggestions(
+        frame(rows, "name long, given string, surname string, year int, n int"), frame(people, "person long, given string, surname string, first_year int, last_year int"), None, ["holt"], 3,
+        frame(seen, "name long, segment int"), frame(met, "person long, segment int"), frame(named, "given string, surname string, n int"), frame(written, "given string, surname string, n int"), {"bob": "robert"},
+    ).distinct().collect()
+
+    want, new = {}, []
+    of = lambda p, i: {x[i] for x in people if x[0] == p} - {None}
+    for name, (given, surname, _, years) in sorted(names.items(), key=lambda x: (-x[1][2], x[0])):
+        given, years = (given or "").lower(), set(years) - {None}
+        if surname is None or len(surname) < 3 or surname == "holt":
+            want[name] = ({None: "unknown", "holt": "not_a_name"}.get(surname, "skip"), None, None)
+            continue
+        found = [p for p in {x[0] for x in people} if any(len(s) >= 3 and one(shapes[surname], shapes[s]) for s in of(p, 2))]
+        found = [p for p in found if given and given in {g.lower() for g in of(p, 1)}] or found
+        if len(found) == 1:
+            a, b = of(found[0], 3), of(found[0], 4)
+            beyond = [y for y in years if a and not min(a) - 2 <= y <= max(b) + 2]
+            want[name] = ("date_conflict", None, None) if 2 * len(beyond) > len(years) else ("given_and_surname" if given else "only_person_with_surname", found[0], None)
+        elif found:
+            own = Counter(s for n, s in seen if n == name)
+            score = sorted(((sum(min(c, met.count((p, s))) for s, c in own.items()), p) for p in found), reverse=True)
+            want[name] = ("context", score[0][1], None) if score[0][0] >= max(3, 2 * score[1][0]) else ("ambiguous", None, None)
+        else:
+            full = Counter()
+            for g, s, c in named:
+                full[f"{g} {s}"] += c if g and shapes[s] == shapes[surname] else 0
+            for g, s, c in written:
+                full[f"{g} {s}"] += c if s.lower() == surname else 0
+            full = sorted((-c, f) for f, c in full.items() if c >= 3)
+            if full:
+                g, s = full[0][1].split()
+                g, s = {"bob": "robert"}.get(g.lower(), g.lower()).capitalize(), s[0].upper() + s[1:]
+                head = next((h for h in new if h[0] == g and one(shapes[s.lower()], shapes[h[1].lower()])), None)
+                if head is None:
+                    new.append(head := (g, s))
+            else:
+                head = next((h for h in new if one(shapes[surname], shapes[h[1].lower()])), None)
+            want[name] = ("new_person" if head else "unknown", None, head and " ".join(head))
+    assert {x.name: (x.kind, x.person, x.proposed) for x in got} == want and len(got) == len(want)
+    assert {k for k, _, _ in want.values()} == set("skip not_a_name date_conflict given_and_surname only_person_with_surname context ambiguous new_person unknown".split())
+
+
+def test_full_names_in_texts_may_share_a_word(spark):
+    from inkwell.operators import review as V
+
+    texts = spark.createDataFrame([("Io: Francis Bacon and fra. \n Bacon, wfra Bacon, io Rolfes2",), (None,), ("Io Rolfe’s",)], "t string")
+    got = {(x.given, x.surname): x.n for x in V.full_names(texts, "t", {"io": "john", "fra": "francis"}).collect()}
+    assert got == {("Io:", "Francis"): 1, ("Francis", "Bacon"): 1, ("fra.", "Bacon"): 1, ("io", "Rolfes"): 1, ("Io", "Rolfe"): 1}
+
+
 def test_near_page_classes_compare_few_sets_that_meet_by_chance(spark):
     r = random.Random(8)
     vocabulary = ["".join(r.choices("abcdefghij", k=6)) for _ in range(120)]
